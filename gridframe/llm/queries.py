@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality_rules
+from . import decontamination, language_id, mixing, quality_model, quality_rules, secret_scan
 
 
 def _read(spark, sf_dir, name):
@@ -20,6 +20,32 @@ def op2_decontamination(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", "n_items", decontamination.item_digest(F.col("items")).alias("items_sha256"), "contaminated")
 
 
+def op3_quality_model(spark, sf_dir):
+    return quality_model.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op4_language_id(spark, sf_dir):
+    return language_id.identify(_read(spark, sf_dir, "documents"))
+
+
+def op9_secret_scan(spark, sf_dir):
+    found = secret_scan.scan(_read(spark, sf_dir, "documents"))
+
+    def of(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = [r.kind for r in secret_scan.RULES if r.base]
+    return found.select(
+        "doc_id",
+        *[of(kind).alias(f"n_{kind}") for kind in base],
+        F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(base))).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_quality_rules(spark, sf_dir):
     ruled = quality_rules.apply_rules(_read(spark, sf_dir, "documents"))
     return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -28,6 +54,9 @@ def op10_quality_rules(spark, sf_dir):
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
+    "op3_quality_model": op3_quality_model,
+    "op4_language_id": op4_language_id,
+    "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 
