@@ -95,11 +95,10 @@ def host_verdicts(failing: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """(host, failed) rows to host, n_docs, n_failed, rate (shrunk), host_ok."""
     per = failing.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
     per = per.withColumn("_r", F.col("n_failed") / F.col("n_docs"))
-    prior = per.agg((F.sum("n_failed") / F.sum("n_docs")).alias("_m"), F.var_pop("_r").alias("_v"))
-    m, v = F.col("_m"), F.col("_v")
-    strength = F.least(F.greatest(F.when(v > 0, m * (1 - m) / v - 1).otherwise(F.lit(1e4)), F.lit(1.0)), F.lit(1e4))
-    per = per.join(F.broadcast(prior)).withColumn("_c", strength)  # one row
-    rate = (F.col("n_failed") + m * F.col("_c")) / (F.col("n_docs") + F.col("_c"))
+    prior = per.agg((F.sum("n_failed") / F.sum("n_docs")).alias("m"), F.var_pop("_r").alias("v")).first()
+    m, v = prior.m or 0.0, prior.v or 0.0
+    strength = min(max(m * (1 - m) / v - 1 if v > 0 else 1e4, 1.0), 1e4)
+    rate = (F.col("n_failed") + F.lit(m * strength)) / (F.col("n_docs") + F.lit(strength))
     return per.withColumn("rate", rate).withColumn("host_ok", F.col("rate") <= F.lit(limit)).select("host", "n_docs", "n_failed", "rate", "host_ok")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, mixing, quality_model, quality_rules, secret_scan
+from . import decontamination, html_text, language_id, mixing, quality_model, quality_rules, secret_scan, url_filter
 
 
 def _read(spark, sf_dir, name):
@@ -28,6 +28,14 @@ def op4_language_id(spark, sf_dir):
     return language_id.identify(_read(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark, sf_dir):
+    return url_filter.judge(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_html_text(spark, sf_dir):
+    return html_text.main_text(_read(spark, sf_dir, "pages"))
+
+
 def op9_secret_scan(spark, sf_dir):
     found = secret_scan.scan(_read(spark, sf_dir, "documents"))
 
@@ -56,6 +64,8 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_quality_model": op3_quality_model,
     "op4_language_id": op4_language_id,
+    "op5_url_filter": op5_url_filter,
+    "op7_html_text": op7_html_text,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
@@ -63,5 +73,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_mixing": mixing.ORACLE_SQL,
     "op2_decontamination": decontamination.ORACLE_SQL,
+    "op5_url_filter": url_filter.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
 }
