@@ -143,7 +143,7 @@ def repeated_tokens(streams: list[list[str]], names: list, min_run: int = MIN_RU
     owner = np.repeat(np.arange(len(streams)), lens)
     left = ends[owner] - np.arange(len(seq))
     sa = suffix.suffix_array(seq.astype(np.uint64), 1, min_run)
-    common = suffix.common_prefixes(seq, left, sa, min_run)
+    common = suffix.common_prefixes(seq, sa, min_run)
     number: dict = {}
     page = np.array([number.setdefault(n, len(number)) for n in names])[owner]
     group = np.cumsum(common < min_run)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language_id, mixing, quality_model, quality_rules, secret_scan, url_filter
+from . import decontamination, html_text, language_id, mixing, near_join, quality_model, quality_rules, secret_scan, suffix_dedup, url_filter
 
 
 def _read(spark, sf_dir, name):
@@ -32,10 +32,19 @@ def op5_url_filter(spark, sf_dir):
     return url_filter.judge(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    cut = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_html_text(spark, sf_dir):
     return html_text.main_text(_read(spark, sf_dir, "pages"))
 
 
+def op8_near_join(spark, sf_dir):
+    return near_join.group_near_copies(_read(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark, sf_dir):
     found = secret_scan.scan(_read(spark, sf_dir, "documents"))
 
@@ -65,7 +74,9 @@ QUERIES = {
     "op3_quality_model": op3_quality_model,
     "op4_language_id": op4_language_id,
     "op5_url_filter": op5_url_filter,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_html_text": op7_html_text,
+    "op8_near_join": op8_near_join,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }

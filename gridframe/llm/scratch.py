@@ -56,5 +56,14 @@ def table(df: DataFrame) -> DataFrame:
     return out
 
 
+def placement(spark: SparkSession, n: int) -> list[int]:
+    """For each of n partitions a number that ``repartition(n, number)`` sends there."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(40 * n).select(F.col("id").cast("int").alias("id"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("at"))
+    got = {r.at: r.id for r in rows.groupBy("at").agg(F.min("id").alias("id")).collect()}
+    return [got.get(i, i) for i in range(n)]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -49,25 +49,32 @@ def suffix_array(key: np.ndarray, width: int, depth: int) -> np.ndarray:
     return sa
 
 
-def common_prefixes(seq: np.ndarray, left: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
+def common_prefixes(seq: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
     """For each place of ``sa``, symbols in common with the place before, up to ``cap``.
 
-    ``left`` bounds a position's suffix (symbols to the end of its piece).
     Kasai's rule, that the position after one with l symbols in common has
     l - 1 at least, is run in lanes: each lane takes consecutive positions.
+    As suffixes are ordered to a depth only, the rule is used where the
+    follower of the earlier neighbour does stand before the position.
     """
     n = len(sa)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
+    place = np.empty(n + 1, np.int64)
+    place[sa] = np.arange(n)
+    place[n] = n
     got = np.zeros(n, np.int32)
-    last: np.ndarray | None = None
+    last = behind = np.zeros(0, np.int64)
     for r in range(LANES):
         pos = np.arange(r, n, LANES)
         if not len(pos):
             break
         other = before[pos]
-        have = np.zeros(len(pos), np.int64) if last is None else np.maximum(last[: len(pos)] - 1, 0)
-        most = np.where(other < 0, 0, np.minimum(cap, np.minimum(left[pos], left[other])))
+        have = np.zeros(len(pos), np.int64)
+        if r:
+            j = behind[: len(pos)] + 1
+            have = np.where((j > 0) & (place[j] < place[pos]), np.maximum(last[: len(pos)] - 1, 0), 0)
+        most = np.where(other < 0, 0, np.minimum(cap, n - np.maximum(pos, other)))
         have = np.minimum(have, most)
         live = np.flatnonzero(have < most)
         while len(live):
@@ -76,5 +83,5 @@ def common_prefixes(seq: np.ndarray, left: np.ndarray, sa: np.ndarray, cap: int)
             have[live] += 1
             live = live[have[live] < most[live]]
         got[pos] = have
-        last = have
+        last, behind = have, other
     return got[sa]
