@@ -83,8 +83,8 @@ class Model:
         load = np.array([np.mean((self.table >> kind(i)) & kind(1)) for i in range(len(self.names))])
         self.false = load**HASHES
 
-    def score(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the language, share of the corrected counts) of each text."""
+    def score(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of the language, its share of the corrected counts, part of the n-grams it knows) of each text."""
         n = len(offs) - 1
         h, doc = _grams(raw, offs, self.ngram)
         mask = np.full(len(h), ~self.table.dtype.type(0), self.table.dtype)
@@ -99,7 +99,8 @@ class Model:
             right[:, i] = np.maximum(got - total * self.false[i], 0) / (1 - self.false[i])
         best = right.argmax(1)
         sums = right.sum(1)
-        return best, np.where(sums > 0, right[np.arange(n), best] / np.where(sums > 0, sums, 1), 0.0)
+        top = right[np.arange(n), best]
+        return best, np.where(sums > 0, top / np.where(sums > 0, sums, 1), 0.0), np.where(total > 0, top / np.maximum(total, 1), 0.0)
 
 
 def fold(id_col: Column, folds: int) -> Column:
@@ -134,22 +135,22 @@ def _run(model: Model):
                 for d in np.flatnonzero(~lettered & (offs[1:] > offs[:-1])).tolist():
                     lettered[d] = bool(_LETTER.search(part.column(i)[d].as_py() or ""))
                 if model.names:
-                    best, score = model.score(raw, offs)
+                    best, score, known = model.score(raw, offs)
                 else:
-                    best, score, lettered = np.zeros(part.num_rows, int), np.zeros(part.num_rows), np.zeros(part.num_rows, bool)
+                    best, score, known, lettered = np.zeros(part.num_rows, int), np.zeros(part.num_rows), np.zeros(part.num_rows), np.zeros(part.num_rows, bool)
                 best = np.where(lettered, best, len(model.names))
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(j) for j in range(part.num_columns)], pa.array(names[best].tolist(), pa.string()), pa.array(np.where(lettered, np.clip(score, 0, 1), 0.0))],
-                    [*part.schema.names, "lang_pred", "score"],
+                    [*[part.column(j) for j in range(part.num_columns)], pa.array(names[best].tolist(), pa.string()), pa.array(np.where(lettered, np.clip(score, 0, 1), 0.0)), pa.array(np.where(lettered, known, 0.0))],
+                    [*part.schema.names, "lang_pred", "score", "known"],
                 )
 
     return run
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns (as ``k0`` ..), ``text``, ``lang_pred`` and ``score``."""
+    """``keep`` columns (as ``k0`` ..), ``text``, ``lang_pred``, ``score`` and ``known``."""
     frame = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema], "lang_pred string, score double"])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema], "lang_pred string, score double, known double"])
     return frame.mapInArrow(_run(model), schema)
 
 
