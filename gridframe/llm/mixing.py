@@ -4,8 +4,8 @@ Every document of a source is due ``target / source size`` copies.  The whole
 part is certain; the rest is an inclusion probability p, and the documents of a
 source are ranked by the Pareto variable ``(u / (1 - u)) / (p / (1 - p))`` with
 u hashed from the id.  The sample is the first documents in that order whose
-words fit what is left of the target, closed by the one further document that
-comes nearest to the gap, if it narrows it.
+words fit what is left of the target.  Up to ``CORRECTIONS`` documents are then
+exchanged, each the one that brings the words taken nearest to the target.
 
 Defined results: null text has size 0 and is never taken; null sources form one
 source, last in order; rows of one id share their fate (they tie in the order);
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from . import scratch
 
 SHARE, CAP, WEIGHTS, SEED, BUCKETS = 1.5, 2.0, (3.0, 1.0, 2.0), "mix-1", 4096
+CORRECTIONS = 3
 #: sources up to which per-source figures are broadcast; shuffled joins beyond
 BROADCAST_SOURCES = 20_000
 
@@ -40,7 +41,7 @@ def targets(sizes: DataFrame, share: float, cap: float, weights: Sequence[float]
     """(src, source_size) to (.., target): weights in cycle, shares capped, excess reshared.
 
     Filling is in closed form: with sources ordered by cap / weight, the common
-    level is the first that no later source's cap undercuts.
+    level is the first, and so the largest, that the source's own cap allows.
     """
     w_of = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("_n") - 1, F.lit(len(weights))) + 1).cast("int"))
     by_name = Window.orderBy(F.col("_src").asc_nulls_last())
@@ -55,7 +56,7 @@ def targets(sizes: DataFrame, share: float, cap: float, weights: Sequence[float]
         (F.lit(float(share)) * F.sum("source_size").over(total) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))).alias("_left"),
         F.sum("_w").over(here_on).alias("_ws"),
     ).withColumn("_level", F.col("_left") / F.col("_ws"))
-    level = F.min(F.when(F.col("_level") <= F.col("_b"), F.col("_level"))).over(total)
+    level = F.max(F.when(F.col("_level") <= F.col("_b"), F.col("_level"))).over(total)
     return filled.withColumn("target", F.least("_cap", F.coalesce(level * F.col("_w"), F.col("_cap")))).select("_src", "source_size", "target")
 
 
@@ -121,10 +122,16 @@ def mix(
     edge = scratch.table(beside(edge, cut).withColumn("_used", F.coalesce("_run", "_used")).drop("_run"))
 
     in_order = F.coalesce(F.col("_edge").isNull() | (F.col("_slice") < F.col("_edge")) | ((F.col("_slice") == F.col("_edge")) & (F.col("_k") <= F.col("_cut"))), F.lit(False))
-    gap = F.col("_left") - F.col("_used")
-    rest = beside(drawn, edge).filter(~in_order).withColumn("_off", F.abs(F.col("_size") - gap)).filter(F.col("_off") < gap)
-    closing = rest.groupBy("_src").agg(F.min(F.struct("_off", "_k")).getField("_k").alias("_close"))
-    edge = scratch.table(beside(edge, closing))
+    chosen = in_order
+    edge = scratch.table(beside(edge, drawn.groupBy("_src").agg(F.first("_left").alias("_left"))).withColumn("_gap", F.col("_left") - F.col("_used")).drop("_left"))
+    for i in range(CORRECTIONS):
+        gap = F.col("_gap")
+        off = F.abs(F.col("_size") - F.abs(gap))
+        open_ = beside(drawn.drop("_left"), edge).filter(((gap > 0) & ~chosen) | ((gap < 0) & chosen)).withColumn("_off", off).filter(F.col("_off") < F.abs(gap))
+        pick = open_.groupBy("_src").agg(F.min(F.struct("_off", "_k", "_size")).alias("_pick"))
+        edge = beside(edge, pick).withColumn(f"_flip{i}", F.col("_pick._k")).withColumn("_gap", gap - F.signum(gap) * F.coalesce(F.col("_pick._size"), F.lit(0))).drop("_pick")
+        edge = scratch.table(edge)
+        chosen = chosen != F.coalesce(F.col("_k") == F.col(f"_flip{i}"), F.lit(False))
 
     full = docs.select(
         F.col(id_col).alias(id_col),
@@ -134,8 +141,7 @@ def mix(
         *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)],
     )
     full = beside(scored(beside(full, plan)), edge)
-    chosen = F.col("_k").isNotNull() & (in_order | F.coalesce(F.col("_k") == F.col("_close"), F.lit(False)))
-    copies = (F.col("_whole") + chosen.cast("long")).cast("long")
+    copies = (F.col("_whole") + (F.col("_k").isNotNull() & chosen).cast("long")).cast("long")
     return full.select(
         id_col,
         "size",
@@ -155,16 +161,24 @@ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER
 w AS (SELECT *, CASE (n - 1) %% 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w, 2.0::DOUBLE * source_size AS cap FROM s),
 l AS (SELECT *, cap / w AS b, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(w) OVER (ORDER BY cap / w, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT source, source_size, least(cap, coalesce(min(CASE WHEN level <= b THEN level END) OVER () * w, cap)) AS target FROM l),
+t AS (SELECT source, source_size, least(cap, coalesce(max(CASE WHEN level <= b THEN level END) OVER () * w, cap)) AS target FROM l),
 r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS ratio FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 k AS (SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS p, target - floor(ratio) * source_size AS budget,
     (u / (1 - u)) / ((ratio - floor(ratio)) / (1 - (ratio - floor(ratio)))) AS q FROM r),
 o AS (SELECT *, CASE WHEN p > 0 THEN q / (1 + q) END AS rk FROM k),
 c AS (SELECT *, sum(CASE WHEN rk IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rk NULLS LAST) AS run FROM o),
-f AS (SELECT *, rk IS NOT NULL AND run <= budget AS chosen, budget - max(CASE WHEN rk IS NOT NULL AND run <= budget THEN run ELSE 0 END) OVER (PARTITION BY source) AS gap FROM c),
-z AS (SELECT *, min(CASE WHEN rk IS NOT NULL AND NOT chosen AND abs(size - gap) < gap THEN struct_pack(off := abs(size - gap), rk := rk) END) OVER (PARTITION BY source) AS closing FROM f)
-SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN chosen OR coalesce(rk = closing.rk, false) THEN 1 ELSE 0 END) AS BIGINT) AS copies,
-    CAST((whole + CASE WHEN chosen OR coalesce(rk = closing.rk, false) THEN 1 ELSE 0 END) AS BIGINT) * size AS taken FROM z
+f AS (SELECT *, rk IS NOT NULL AND run <= budget AS on0, budget - max(CASE WHEN rk IS NOT NULL AND run <= budget THEN run ELSE 0 END) OVER (PARTITION BY source) AS gap0 FROM c),
+y0 AS (SELECT *, min(CASE WHEN rk IS NOT NULL AND ((gap0 > 0 AND NOT on0) OR (gap0 < 0 AND on0)) AND abs(size - abs(gap0)) < abs(gap0)
+    THEN struct_pack(off := abs(size - abs(gap0)), rk := rk, size := size) END) OVER (PARTITION BY source) AS flip0 FROM f),
+z1 AS (SELECT *, on0 <> coalesce(rk = flip0.rk, false) AS on1, gap0 - sign(gap0) * coalesce(flip0.size, 0) AS gap1 FROM y0),
+y1 AS (SELECT *, min(CASE WHEN rk IS NOT NULL AND ((gap1 > 0 AND NOT on1) OR (gap1 < 0 AND on1)) AND abs(size - abs(gap1)) < abs(gap1)
+    THEN struct_pack(off := abs(size - abs(gap1)), rk := rk, size := size) END) OVER (PARTITION BY source) AS flip1 FROM z1),
+z2 AS (SELECT *, on1 <> coalesce(rk = flip1.rk, false) AS on2, gap1 - sign(gap1) * coalesce(flip1.size, 0) AS gap2 FROM y1),
+y2 AS (SELECT *, min(CASE WHEN rk IS NOT NULL AND ((gap2 > 0 AND NOT on2) OR (gap2 < 0 AND on2)) AND abs(size - abs(gap2)) < abs(gap2)
+    THEN struct_pack(off := abs(size - abs(gap2)), rk := rk, size := size) END) OVER (PARTITION BY source) AS flip2 FROM z2),
+z3 AS (SELECT *, on2 <> coalesce(rk = flip2.rk, false) AS on3, gap2 - sign(gap2) * coalesce(flip2.size, 0) AS gap3 FROM y2)
+SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN on3 THEN 1 ELSE 0 END) AS BIGINT) AS copies,
+    CAST((whole + CASE WHEN on3 THEN 1 ELSE 0 END) AS BIGINT) * size AS taken FROM z3
 """ % SEED
 
 
