@@ -119,7 +119,8 @@ class Shard:
     def strings(self) -> np.ndarray:
         """The groups' strings, in order."""
         first = self.pos[self.at]
-        return np.ascontiguousarray(self.content[first[:, None] + np.arange(self.length)]).view(f"S{self.length}").ravel()
+        rows = np.lib.stride_tricks.sliding_window_view(self.content, self.length)[first]
+        return np.ascontiguousarray(rows).view(f"S{self.length}").ravel()
 
     def by_position(self) -> np.ndarray:
         out = np.full(self.total, NO_ID, np.int64)
@@ -177,7 +178,7 @@ def _decide_run(content, off, size, ids, rows, length, shard_bytes):
     dsize = size[rows][model]
     dtext = text[_ragged((ends - size[rows])[model], dsize)]
     dend = np.cumsum(dsize)
-    part = np.cumsum(dsize) // (2 * shard_bytes)
+    part = np.cumsum(dsize) // shard_bytes
     cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     shards = []
     for lo, hi in zip(cuts, np.append(cuts[1:], len(dsize)), strict=True):
@@ -196,6 +197,12 @@ def _decide_run(content, off, size, ids, rows, length, shard_bytes):
     return rows[hit], lo[hit], hi[hit] + length
 
 
+def _pieces(off: np.ndarray, size: np.ndarray, rows: int = 100_000) -> list[tuple[int, int, int, int]]:
+    """(row, next row, byte, next byte) of consecutive runs of segments."""
+    ends = [*range(0, len(off), rows), len(off)]
+    return [(i, j, int(off[i]), int(off[j - 1] + size[j - 1])) for i, j in zip(ends[:-1], ends[1:], strict=True) if j > i]
+
+
 def _doc_bucket(ids: np.ndarray, n: int) -> np.ndarray:
     values, back = np.unique(ids, return_inverse=True)
     return np.array([zlib.crc32(str(v).encode()) % n for v in values.tolist()], np.int64)[back]
@@ -312,11 +319,16 @@ def _sharder(length: int, gram: int, seats: list[int]):
                     ids, digest, local, start, size, place, content = _unpack(sent.as_py(), *_SEGMENT)
                     got.append((ids[local], digest[local], start, size, place, content))
         if got:
-            ids, digest, start, size, place, content = (np.concatenate([g[i] for g in got]) for i in range(6))
-            got.clear()
+            ids, digest, start, size, place = (np.concatenate([g[i] for g in got]) for i in range(5))
+            content = np.empty(sum(len(g[5]) for g in got), np.uint8)
+            at = len(content)
+            while got:  # from the last, so that each block is freed once copied
+                block = got.pop()[5]
+                content[at - len(block) : at] = block
+                at -= len(block)
             size = size.astype(np.int64)
             off = np.cumsum(size) - size
-            anchor = _gram_hash(content, off + place, gram)
+            anchor = np.concatenate([_gram_hash(content[a : b + gram], off[i:j] + place[i:j] - a, gram) for i, j, a, b in _pieces(off, size)])
             seg, lo, hi = decide(content, off, size, ids, anchor, length)
             parts.append((ids[seg], digest[seg], (start[seg] + lo).astype(np.uint32), (start[seg] + hi).astype(np.uint32)))
         if not parts:
@@ -405,7 +417,7 @@ def _finisher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """id (long), n_bytes, n_removed, n_spans, spans (flat byte offsets) and kept (binary) of every document."""
     spark = docs.sparkSession
-    n = scratch.partitions(spark)
+    n = 2 * scratch.partitions(spark)  # segments take several times their text
     seats = scratch.placement(spark, n)
     thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     cut = thin.mapInArrow(_cutter(length, gram, seats), "bucket int, sent binary, gone binary").repartition(n, "bucket")
