@@ -10,8 +10,9 @@ and a set with more of them also enters tiles of its empty parts.)
 In a tile every set is linked to one hub and verified by exact intersection of
 sorted arrays.  What the verified links leave unconnected within a tile is
 compared pair by pair: parity bitmaps bound the overlap from above
-(|A xor B| is at least the popcount of the xor), and the pairs that pass are
-verified too.  Equal sets are one class from the start, named by a 64-bit
+(|A xor B| is at least the popcount of the xor).  First each set is verified
+with the one set of another component that it may overlap most; then, with the
+components that this leaves, all pairs that pass the bound are.  Equal sets are one class from the start, named by a 64-bit
 digest; components are found by contraction and named by least document id.
 
 Hot groups: a batch sends each tile key once with its local hub, hubs with many
@@ -35,7 +36,7 @@ from . import components, scratch
 from . import text as tx
 
 SHINGLE, PERCENT, RATIO = 4, 85, 1.6
-CHUNK_BYTES, FLUSH_ROWS = 4 << 20, 1_500_000
+CHUNK_BYTES, FLUSH_ROWS = 2 << 20, 700_000
 HUB_MEMBERS, CELL = 1000, 1500
 #: classes whose ids are broadcast to fetch their texts; a shuffled join beyond
 BROADCAST_IDS = 1_000_000
@@ -282,8 +283,8 @@ def _verifier(k: int, percent: int):
     return run
 
 
-def _crosser(percent: int):
-    """Pairs of different components in a cell that the bitmaps don't exclude."""
+def _crosser(percent: int, nearest: bool):
+    """Pairs of different components in a cell that the bitmaps don't exclude; or each set's nearest one."""
 
     def pairs(rows: list[tuple]) -> tuple[list, list]:
         cls = np.array([r[0] for r in rows])
@@ -296,12 +297,15 @@ def _crosser(percent: int):
             maps[i] = np.bitwise_xor.reduce(np.frombuffer(r[3], np.uint64).reshape(-1, least // 8), 0)
         apart = len(set(block.tolist())) > 1
         left, right = [], []
-        for i in range(len(rows) - 1):
-            j = np.arange(i + 1, len(rows))
+        for i in range(len(rows)):
+            j = np.arange(0 if nearest else i + 1, len(rows))
             j = j[(comp[j] != comp[i]) & ((block[j] != block[i]) if apart else True)]
             if len(j):
-                differ = np.bitwise_count(maps[j] ^ maps[i]).sum(1)
-                j = j[(100 + percent) * differ.astype(np.int64) <= (100 - percent) * (n[j] + n[i])]
+                differ = np.bitwise_count(maps[j] ^ maps[i]).sum(1).astype(np.int64)
+                ok = (100 + percent) * differ <= (100 - percent) * (n[j] + n[i])
+                j, differ = j[ok], differ[ok]
+                if nearest and len(j):
+                    j = j[[np.lexsort((cls[j], differ / (n[j] + n[i])))[0]]]
                 left += [cls[i]] * len(j)
                 right += cls[j].tolist()
         return left, right
@@ -342,6 +346,18 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int, n: int) ->
     return rows.mapInArrow(_verifier(k, percent), "a long, b long")
 
 
+def _across(tiles: DataFrame, comp: DataFrame, texts: DataFrame, percent: int, n: int, nearest: bool) -> DataFrame:
+    """Distinct pairs (a < b) of tiles whose sets are in several components; large tiles are split into cells."""
+    placed = tiles.join(comp, F.col("cls") == F.col("v"), "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
+    torn = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", F.ceil(F.col("size") / CELL).cast("int").alias("cells"))
+    left = placed.join(torn, "key").withColumn("block", F.pmod(F.xxhash64("cls"), "cells").cast("int"))
+    left = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    left = left.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "cls", "comp", "block")
+    left = left.join(texts.select("cls", "n", "bits"), "cls").repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    pairs = left.mapInArrow(_crosser(percent, nearest), "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def group_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles and component_id (least id of the component) of every document."""
     spark = docs.sparkSession
@@ -366,19 +382,14 @@ def group_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     comp = scratch.table(components.components(links))
 
     # Tiles that the links leave in several components.
-    placed = tiles.select("key", "cls").union(tiles.select("key", F.col("hub").alias("cls"))).distinct()
-    placed = placed.join(comp, F.col("cls") == F.col("v"), "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-    torn = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", F.ceil(F.col("size") / CELL).cast("int").alias("cells"))
-    left = placed.join(torn, "key").withColumn("block", F.pmod(F.xxhash64("cls"), "cells").cast("int"))
-    left = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    left = left.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "cls", "comp", "block")
-    left = left.join(texts.select("cls", "n", "bits"), "cls").repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    across = left.mapInArrow(_crosser(percent), "a long, b long").distinct()
+    placed = scratch.table(tiles.select("key", "cls").union(tiles.select("key", F.col("hub").alias("cls"))).distinct())
     seen = stars.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    across = scratch.table(across.join(seen, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"))
-    if not across.isEmpty():
-        links = links.union(scratch.table(_verify(across, texts, shingle, percent, n)))
-        comp = scratch.table(components.components(links))
+    for nearest in (True, False):
+        across = scratch.table(_across(placed, comp, texts, percent, n, nearest).join(seen, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"))
+        if not across.isEmpty():
+            seen = seen.union(across.select(F.col("a").alias("x"), F.col("b").alias("y")))
+            links = links.union(scratch.table(_verify(across, texts, shingle, percent, n)))
+            comp = scratch.table(components.components(links))
 
     named = who.where("n > 0").join(comp, F.col("cls") == F.col("v"), "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = named.groupBy("comp").agg(F.min("id").alias("least"))
