@@ -162,6 +162,7 @@ def _group(key: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def _tiler(bands: Bands, k: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.steady_memory()
         keys, classes, held, kind, turn = [], [], 0, None, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -208,6 +209,7 @@ def _tiler(bands: Bands, k: int, buckets: int):
 
 def _joiner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents as they come; tiles of several classes, from within a batch and across batches."""
+    tx.steady_memory()
     sent, kind = [], None
 
     def tiles(k: np.ndarray, c: np.ndarray, hub: np.ndarray) -> pa.RecordBatch:
@@ -258,6 +260,7 @@ def _verifier(k: int, percent: int):
     """Rows by hub, the hub's own first: the members whose sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.steady_memory()
         hub, of = None, None
         for batch in batches:
             for part in tx.slices(batch, "text", CHUNK_BYTES):
@@ -311,6 +314,7 @@ def _crosser(percent: int, nearest: bool):
         return left, right
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.steady_memory()
         cell, rows, a, b = None, [], [], []
         for batch in batches:
             cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "lo", "hi", "cls", "comp", "n", "bits", "block")]

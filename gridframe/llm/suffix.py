@@ -27,7 +27,7 @@ def suffix_array(key: np.ndarray, width: int, depth: int) -> np.ndarray:
     finished groups never change.
     """
     n = len(key)
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     ordered = key[sa]
     first = np.ones(n, bool)
     first[1:] = ordered[1:] != ordered[:-1]
@@ -58,6 +58,9 @@ def common_prefixes(seq: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
     follower of the earlier neighbour does stand before the position.
     """
     n = len(sa)
+    words = None
+    if seq.dtype == np.uint8:  # eight symbols at a time
+        words = np.ndarray((n + 1,), "<u8", np.concatenate([seq, np.zeros(16, np.uint8)]), strides=(1,))
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     place = np.empty(n + 1, np.int64)
@@ -77,6 +80,11 @@ def common_prefixes(seq: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
         most = np.where(other < 0, 0, np.minimum(cap, n - np.maximum(pos, other)))
         have = np.minimum(have, most)
         live = np.flatnonzero(have < most)
+        while len(live) and words is not None:
+            differ = words[pos[live] + have[live]] ^ words[other[live] + have[live]]
+            more = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3
+            have[live] = np.minimum(have[live] + more, most[live])
+            live = live[(more == 8) & (have[live] < most[live])]
         while len(live):
             same = seq[pos[live] + have[live]] == seq[other[live] + have[live]]
             live = live[same]

@@ -39,7 +39,7 @@ from . import scratch, suffix
 from . import text as tx
 
 LENGTH, GRAM = 50, 16
-CHUNK_BYTES, FLUSH_BYTES, SHARD_BYTES, LEVEL = 1 << 20, 8 << 20, 1 << 20, 3
+CHUNK_BYTES, FLUSH_BYTES, SHARD_BYTES, LEVEL = 1 << 20, 5 << 20, 1 << 20, 3
 NO_ID = (1 << 63) - 1
 _FAR = np.int64(1 << 40)
 
@@ -108,11 +108,11 @@ class Shard:
         owner = np.repeat(np.arange(len(size)), size)
         whole = np.cumsum(size)[owner[sa]] - sa >= length
         group = np.cumsum(common < length)[whole]
-        self.pos = sa[whole]
+        self.pos = sa[whole].astype(np.int32)
         new = np.ones(len(self.pos), bool)
         new[1:] = group[1:] != group[:-1]
         self.at = np.flatnonzero(new)
-        self.group = np.cumsum(new) - 1
+        self.group = (np.cumsum(new) - 1).astype(np.int32)
         self.least = np.minimum.reduceat(least[owner[self.pos]], self.at)
         self.total = n
 
@@ -156,45 +156,58 @@ def decide(content: np.ndarray, off: np.ndarray, size: np.ndarray, ids: np.ndarr
         # groups to runs of about shard_bytes; a larger group is a run by itself
         run = (np.cumsum(sums) // shard_bytes)[group]
         cuts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+        same = _content_hash(content, off[by], size[by])
         for lo, hi in zip(cuts, np.append(cuts[1:], len(by)), strict=True):
-            out.append(_decide_run(content, off, size, ids, by[lo:hi], length, shard_bytes))
+            out += _decide_run(content, off, size, ids, by[lo:hi], same[lo:hi], length, shard_bytes)
     if not out:
         none = np.zeros(0, np.int64)
         return none, none, none
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
-def _decide_run(content, off, size, ids, rows, length, shard_bytes):
-    text = content[_ragged(off[rows], size[rows])]
-    ends = np.cumsum(size[rows])
-    same = tx.span_hash(tx.prefix_hash(text), ends - size[rows], ends)
-    by = np.argsort(same, kind="stable")
+def _content_hash(content: np.ndarray, off: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of each segment, for about a MB of segments at a time."""
+    out = np.empty(len(off), np.uint64)
+    for i in range(0, len(off), 15_000):
+        o, n = off[i : i + 15_000], size[i : i + 15_000]
+        text = content[_ragged(o, n)]
+        end = np.cumsum(n)
+        out[i : i + 15_000] = tx.span_hash(tx.prefix_hash(text), end - n, end)
+    return out
+
+
+def _decide_run(content, off, size, ids, rows, same, length, shard_bytes):
+    """Decide the segments ``rows``, whose content hashes are ``same``; no anchor is in two runs."""
+    by = np.argsort(same)
     new = np.append(True, same[by[1:]] != same[by[:-1]])
     at = np.flatnonzero(new)
-    which = np.empty(len(rows), np.int64)  # distinct segment of each row
+    which = np.empty(len(rows), np.int32)  # distinct segment of each row
     which[by] = np.cumsum(new) - 1
-    model = by[at]
+    model = rows[by[at]]
     least = np.minimum.reduceat(ids[rows][by], at)
-    dsize = size[rows][model]
-    dtext = text[_ragged((ends - size[rows])[model], dsize)]
-    dend = np.cumsum(dsize)
+    dsize = size[model]
     part = np.cumsum(dsize) // shard_bytes
     cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     shards = []
     for lo, hi in zip(cuts, np.append(cuts[1:], len(dsize)), strict=True):
-        shards.append(Shard(dtext[dend[lo] - dsize[lo] : dend[hi - 1]], dsize[lo:hi], least[lo:hi], length))
+        shards.append(Shard(content[_ragged(off[model[lo:hi]], dsize[lo:hi])], dsize[lo:hi], least[lo:hi], length))
     if len(shards) > 1:
         merge_shards(shards)
-    owner_least = np.concatenate([s.by_position() for s in shards])
-    count = dsize[which] - length + 1
-    flat = owner_least[_ragged((dend - dsize)[which], count)]
-    gone = flat < np.repeat(ids[rows], count)
-    rel = _ragged(np.zeros(len(rows), np.int64), count)
-    begin = np.cumsum(count) - count
-    lo = np.minimum.reduceat(np.where(gone, rel, 1 << 30), begin)
-    hi = np.maximum.reduceat(np.where(gone, rel, -1), begin)
-    hit = hi >= 0  # strings of a segment overlap, so what they cover is one span
-    return rows[hit], lo[hit], hi[hit] + length
+    first = np.cumsum(dsize) - dsize
+    by_position = np.concatenate([s.by_position() for s in shards])
+    shards.clear()
+    out = []
+    for i in range(0, len(rows), 50_000):
+        r, w = rows[i : i + 50_000], which[i : i + 50_000]
+        count = dsize[w] - length + 1
+        gone = by_position[_ragged(first[w], count)] < np.repeat(ids[r], count)
+        rel = _ragged(np.zeros(len(r), np.int64), count)
+        begin = np.cumsum(count) - count
+        lo = np.minimum.reduceat(np.where(gone, rel, 1 << 30), begin)
+        hi = np.maximum.reduceat(np.where(gone, rel, -1), begin)
+        hit = hi >= 0  # strings of a segment overlap, so what they cover is one span
+        out.append((r[hit], lo[hit], hi[hit] + length))
+    return out
 
 
 def _pieces(off: np.ndarray, size: np.ndarray, rows: int = 100_000) -> list[tuple[int, int, int, int]]:
@@ -242,6 +255,7 @@ def _cutter(length: int, gram: int, seats: list[int]):
     """Documents to compressed segments for each shard, and removals settled within the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.steady_memory()
         held: list[tuple] = []
         size = turn = 0
         n = len(seats)
@@ -261,7 +275,7 @@ def _cutter(length: int, gram: int, seats: list[int]):
             length_ = np.concatenate([x[3]["end"] - x[3]["first"] for x in held])
             doc = np.concatenate([x[3]["doc"] + b for x, b in zip(held, base, strict=False)])
             held, size = [], 0
-            by = np.argsort(seg["content"], kind="stable")
+            by = np.argsort(seg["content"])
             new = np.append(True, seg["content"][by[1:]] != seg["content"][by[:-1]])[: len(by)]
             at = np.flatnonzero(new)
             if len(at):
@@ -309,6 +323,7 @@ def _sharder(length: int, gram: int, seats: list[int]):
     """Segments of a shard to packed removals by group of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.steady_memory()
         got: list[tuple] = []
         parts: list[tuple] = []
         for batch in batches:
@@ -352,6 +367,7 @@ def _packer(seats: list[int]):
     """Documents to compressed blocks by group of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.steady_memory()
         n = len(seats)
         for ids, raw, offs in _texts(batches, FLUSH_BYTES):
             bucket = _doc_bucket(ids, n)
@@ -372,6 +388,7 @@ def _packer(seats: list[int]):
 
 def _finisher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut the documents of a group by the removals that came for them."""
+    tx.steady_memory()
     blocks, parts = [], []
     for batch in batches:
         for gone, docs in zip(batch.column(1), batch.column(2), strict=True):

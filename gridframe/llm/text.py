@@ -6,6 +6,7 @@ byte table finds the same words as the character class does.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,20 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+def steady_memory() -> None:
+    """Have freed arrays of a MB and more go back to the system at once.
+
+    Workers live on between tasks; by default the allocator raises the size
+    from which it does so, and keeps what tasks have freed.
+    """
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalising bit mixer of 64-bit hashes."""
     x = x ^ (x >> U64(30))
