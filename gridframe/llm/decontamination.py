@@ -28,7 +28,7 @@ from . import text as tx
 
 WINDOW, SHINGLE = 10, 3
 #: items in a block, and bytes of text handled at a time by a worker
-BLOCK_ITEMS, CHUNK_BYTES = 20_000, 4 << 20
+BLOCK_ITEMS, CHUNK_BYTES = 20_000, 1 << 20
 _FILTER_BITS = 22
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import text as tx
 
 TRAIN_DOCS, LANGUAGES, NGRAM, SLOT_BITS, HASHES, LEAST = 400, 64, 5, 20, 3, 2
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII = np.zeros(256, np.int64)
 _ASCII[list(range(0x41, 0x5B)) + list(range(0x61, 0x7B))] = 1

@@ -36,7 +36,7 @@ from . import components, scratch
 from . import text as tx
 
 SHINGLE, PERCENT, RATIO = 4, 85, 1.6
-CHUNK_BYTES, FLUSH_ROWS = 2 << 20, 700_000
+CHUNK_BYTES, FLUSH_ROWS = 1 << 20, 700_000
 HUB_MEMBERS, CELL = 1000, 1500
 #: classes whose ids are broadcast to fetch their texts; a shuffled join beyond
 BROADCAST_IDS = 1_000_000

@@ -30,7 +30,7 @@ from . import text as tx
 TRAIN_ROWS, EPOCHS, SEED = 2000, 14, 11
 WIDTH, HALF = 6, 64  # bytes of a filter; byte pairs in half a chunk
 EMBED, FILTERS, HIDDEN = 8, 24, 16
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def _layout(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

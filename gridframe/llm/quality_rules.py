@@ -24,7 +24,7 @@ from . import scratch
 from . import text as tx
 
 MIN_WORDS, REPEAT_PERCENT, SYMBOL_PERCENT, LINE_PERCENT, HOST_LIMIT = 50, 50, 10, 50, 0.8
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _SYMBOLS = np.zeros(256, np.int64)
 _SYMBOLS[list(b"#*$%&|<>")] = 1
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 MAX_STRINGS, MAX_CLASS = 64, 16
 
 

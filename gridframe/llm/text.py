@@ -31,12 +31,16 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+_steady: list[bool] = []  # set once in a worker
+
+
 def steady_memory() -> None:
     """Have freed arrays of a MB and more go back to the system at once.
 
     Workers live on between tasks; by default the allocator raises the size
     from which it does so, and keeps what tasks have freed.
     """
+    pa.set_memory_pool(pa.system_memory_pool())
     try:
         libc = ctypes.CDLL(None)
         libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
@@ -61,7 +65,7 @@ _powers = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
 def _power(which: str, n: int) -> np.ndarray:
     have = _powers[which]
     if len(have) < n:
-        size = 1 << max(n - 1, 1).bit_length()
+        size = -(-n // (1 << 18)) << 18
         step = np.full(size, _BASE if which == "up" else _INV, U64)
         step[0] = 1
         with np.errstate(over="ignore"):
@@ -89,6 +93,9 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch whose texts take about ``limit`` bytes."""
+    if not _steady:
+        _steady.append(True)
+        steady_memory()
     _, offs = buffers(batch.column(batch.schema.get_field_index(column)))
     at, n = 0, batch.num_rows
     while at < n:
