@@ -290,7 +290,8 @@ def _cutter(length: int, gram: int, seats: list[int]):
             gone[turn % n] = _pack(ids[own], digest[own], s.astype(np.uint32), e.astype(np.uint32)) if len(own) else None
             turn += 1
             send = np.flatnonzero(~settled)
-            shard = ((seg["anchor"][send] >> tx.U64(32)) * tx.U64(n) >> tx.U64(32)).astype(np.int64)
+            spread = tx.mix(seg["anchor"][send] + tx.U64(1))  # anchors are least hashes, and so mostly small
+            shard = ((spread >> tx.U64(32)) * tx.U64(n) >> tx.U64(32)).astype(np.int64)
             by = np.argsort(shard, kind="stable")
             send, cut = send[by], np.searchsorted(shard[by], np.arange(n + 1))
             for b in range(n):
