@@ -18,7 +18,8 @@ def monthly_counts(stream: DataFrame, time: str, value: str, keys: Sequence[str]
     """
     span = F.window(time, window)
     return (
-        stream.withWatermark(time, late)
+        stream.withColumn(time, F.col(time).cast("timestamp"))
+        .withWatermark(time, late)
         .groupBy(*keys, span.alias("span"))
         .agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
         .select(*keys, F.col("span.start").alias("start"), year_month(F.col("span.start")).alias("year_month"), "n", "mean")

@@ -1,0 +1,218 @@
+import pytest
+from pyspark.sql import functions as F
+
+from gridframe.operators import Frame, from_arrays, from_product
+
+
+@pytest.fixture
+def base(spark):
+    rows = [(1, 3, 1, 5.0), (1, 4, 2, 6.0), (2, 3, 3, 7.0), (2, 4, 4, 8.0)]
+    return Frame(spark.createDataFrame(rows, "a int, b int, col1 long, col2 double"), ("a", "b"))
+
+
+def values(frame, *columns):
+    out = frame.evaluate()
+    return [out[c].tolist() for c in columns]
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_slice_and_filter_keep_the_index(base):
+    assert values(base[:2], "a", "b", "col1", "col2") == [[1, 1], [3, 4], [1, 2], [5, 6]]
+    assert values(base[base["col1"] < 3], "b", "col2") == [[3, 4], [5, 6]]
+    assert values(base[1:4:2], "col1") == [[2, 4]]
+    assert values(base[2:2], "col1") == [[]]
+
+
+def test_slice_is_of_the_result(base):
+    assert values(base[base["col1"] > 1][1:3], "col1") == [[3, 4]]
+    assert values(base[1:][1:], "col1") == [[3, 4]]
+
+
+def test_slice_needs_an_order(base):
+    unordered = Frame(base.df)
+    with pytest.raises(ValueError):
+        unordered[5:]
+
+
+def test_select_rename_drop(base):
+    assert base[["col2"]].columns == ["col2"]
+    assert base.rename({"col1": "col3", "absent": "x"}).columns == ["col3", "col2"]
+    assert base.drop("col1").columns == ["col2"]
+    assert base.drop(["col1", "absent"]).columns == ["col2"]
+    with pytest.raises(TypeError):
+        base.drop(3)
+    with pytest.raises(TypeError):
+        base[["col1", 3]]
+    with pytest.raises(TypeError):
+        base[3.5]
+    with pytest.raises(ValueError):
+        base[base["col1"]]
+
+
+def test_assign(base):
+    assert values(base.assign("x", base["col1"] + base["col1"]), "x") == [[2, 4, 6, 8]]
+    assert values(base.assign("col1", 7), "col1") == [[7] * 4]
+    assert values(base.assign_values("x", [9, 8, 7, 6]), "x") == [[9, 8, 7, 6]]
+
+
+def test_scalar_arithmetic_keeps_types(base):
+    twice = base * 2
+    assert values(twice, "col1", "col2") == [[2, 4, 6, 8], [10, 12, 14, 16]]
+    assert twice.dtypes == {"col1": "bigint", "col2": "double"}
+    assert values(base / 2, "col1") == [[0, 1, 1, 2]]
+    assert values(base.assign("x", base["col1"] * 2.9), "x") == [[2, 4, 6, 8]]
+
+
+def test_promotion(base):
+    f = Frame(base.df, base.index, coerce="promote")
+    assert values(f.assign("x", f["col1"] / 2), "x") == [[0.5, 1, 1.5, 2]]
+
+
+def test_series_logic(spark):
+    f = Frame(spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 4)], "i int, v int"), ("i",))
+    v = f["v"]
+    assert (v < 3).evaluate().tolist() == [True, True, False, False]
+    assert ((v < 3) & (v != 2)).evaluate().tolist() == [True, False, False, False]
+    assert ((v >= 4) | (v == 1)).evaluate().tolist() == [True, False, False, True]
+    assert (~(v <= 2)).evaluate().tolist() == [False, False, True, True]
+    assert v[v != 2].evaluate().tolist() == [1, 3, 4]
+    assert v[1:3].evaluate().tolist() == [2, 3]
+    assert v.head(2).evaluate().tolist() == [1, 2]
+    with pytest.raises(TypeError):
+        v & v
+
+
+def test_sentinels_in_single_precision(spark):
+    df = spark.createDataFrame([(-99.99,), (1.0,), (-99.99,)], "v double").select(F.col("v").cast("float").alias("v"))
+    f = Frame(df)
+    assert len(f[f["v"] != -99.99]) == 1
+
+
+def test_aggregates(base):
+    by = {n: dict(rows(getattr(base, n)())) for n in ("sum", "prod", "min", "max", "count", "mean", "std")}
+    assert by["sum"] == {"col1": 10, "col2": 26}
+    assert by["prod"] == {"col1": 24, "col2": 1680}
+    assert by["min"] == {"col1": 1, "col2": 5}
+    assert by["max"] == {"col1": 4, "col2": 8}
+    assert by["count"] == {"col1": 4, "col2": 4}
+    assert by["mean"] == {"col1": 2.5, "col2": 6.5}
+    assert by["std"]["col1"] == pytest.approx(1.2909944487358056)
+
+
+def test_agg_in_any_order(base):
+    got = {r["agg"]: (r["col1"], r["col2"]) for r in base.agg(["std", "mean", "sum", "min", "max"]).collect()}
+    assert got["min"] == (1, 5) and got["max"] == (4, 8) and got["sum"] == (10, 26) and got["mean"] == (2.5, 6.5)
+    with pytest.raises(TypeError):
+        base.agg([])
+    with pytest.raises(ValueError):
+        base.agg(["median"])
+
+
+def test_series_aggregates(base):
+    s = base["col1"]
+    assert [getattr(s, n)().first()[0] for n in ("sum", "prod", "min", "max", "count", "mean")] == [10, 24, 1, 4, 4, 2.5]
+    assert s.sum().dtypes == [("col1", "bigint")]
+    assert [tuple(r) for r in s.describe(["min", "max"]).collect()] == [("min", 1.0), ("max", 4.0)]
+
+
+def test_std_of_one_row_is_null(base):
+    assert base[:1]["col2"].std().first()[0] is None
+
+
+def test_merge_on_one_column(spark):
+    left = Frame(spark.createDataFrame(list(zip([1, 3, 4, 5, 6], range(1, 6))), "i int, col1 int"), ("i",))
+    right = Frame(spark.createDataFrame(list(zip([2, 3, 5], range(1, 4))), "j int, col2 int"), ("j",))
+    assert values(left.merge(right), "i", "col1", "col2") == [[3, 5], [2, 4], [2, 3]]
+    assert values(left.merge(right, hint="merge"), "i") == [[3, 5]]
+    assert len(left.merge(right, "left")) == 5
+    assert len(left.merge(right, "left_anti")) == 3
+
+
+def test_merge_on_three_columns(spark):
+    def grid(levels, name):
+        df = from_product(spark, dict(zip("abc", levels))).withColumnRenamed("pos", name)
+        return Frame(df, ("a", "b", "c"))
+
+    got = grid([[1, 2], [3, 4], [5, 6]], "col1").merge(grid([[1, 2, 3], [3, 5], [5, 6]], "col2"))
+    assert values(got, "col1", "col2") == [[0, 1, 4, 5], [0, 1, 4, 5]]
+
+
+def test_merge_conflicts(base):
+    with pytest.raises(ValueError):
+        base.merge(base)
+    assert base.merge(base, suffixes=("", "_r")).columns == ["col1", "col2", "col1_r", "col2_r"]
+    right = base.assign("col1", base["col1"] * 10)
+    assert values(base.merge(right, on_conflict="right"), "col1") == [[10, 20, 30, 40]]
+    with pytest.raises(ValueError):
+        base.merge(Frame(base.df, ("a",)))
+    with pytest.raises(TypeError):
+        base.merge(base.df)
+
+
+def test_merge_with_repeated_keys(spark):
+    f = Frame(spark.createDataFrame([(1, 1), (1, 2)], "i int, x int"), ("i",))
+    g = Frame(spark.createDataFrame([(1, 3), (1, 4)], "i int, y int"), ("i",))
+    assert len(f.merge(g)) == 4
+
+
+@pytest.fixture
+def groups(spark):
+    return Frame(spark.createDataFrame([(1, 3, 5.0), (1, 4, 6.0), (2, 5, 7.0), (3, 5, 7.0), (3, 6, 7.0)], "col1 int, col2 long, col3 float"))
+
+
+def test_group_by(groups):
+    assert values(groups.groupby("col1").sum(), "col1", "col2", "col3") == [[1, 2, 3], [7, 5, 11], [11, 7, 14]]
+    assert values(groups.groupby(["col1", "col3"]).sum(), "col2") == [[3, 4, 5, 11]]
+    assert values(groups.groupby("col1").mean(), "col2") == [[3.5, 5, 5.5]]
+    assert values(groups.groupby("col1").prod(), "col2") == [[12, 5, 30]]
+    assert values(groups.groupby("col1").min(), "col3") == [[5, 7, 7]]
+    assert values(groups.groupby("col1").max(), "col2") == [[4, 5, 6]]
+    assert values(groups.groupby("col1").count(), "col2") == [[2, 1, 2]]
+    assert groups.groupby("col1").sum().dtypes == {"col2": "bigint", "col3": "float"}
+    assert values(groups[["col1"]].groupby("col1").sum(), "col1") == [[1, 2, 3]]
+    with pytest.raises(ValueError):
+        groups.groupby([])
+    with pytest.raises(TypeError):
+        groups.groupby(3)
+
+
+def test_indexes(base):
+    flat = base.reset_index("row")
+    assert values(flat, "row", "a", "b", "col1") == [[0, 1, 2, 3], [1, 1, 2, 2], [3, 4, 3, 4], [1, 2, 3, 4]]
+    assert base.reset_index().columns == ["a", "b", "col1", "col2"]
+    assert base.reset_index().set_index(["b", "a"]).index == ("b", "a")
+    labelled, levels = from_arrays(base.df, ["a", "b"])
+    got = labelled.orderBy("a", "b").collect()
+    assert [r.a_label for r in got] == [0, 0, 1, 1] and [r.b_label for r in got] == [0, 1, 0, 1]
+    assert rows(levels["b"]) == [(3, 0), (4, 1)]
+
+
+def test_append_matches_names(base):
+    other = base.drop("col2")
+    assert len(base.append(other)) == 8
+
+
+def test_head_is_of_the_result(base):
+    assert values(base[base["col1"] > 2].head(2), "col1") == [[3, 4]]
+
+
+def test_representation_does_not_run(base):
+    assert "col1" in repr(base) and "bigint" in repr(base["col1"])
+    assert "5.0" in str(base)
+
+
+def test_csv_round_trip(spark, base, tmp_path):
+    from gridframe.sources import read_csv
+
+    base.to_csv(f"file://{tmp_path}/one.csv")
+    text = (tmp_path / "one.csv").read_text()
+    assert text.splitlines()[0] == "a,b,col1,col2" and len(text.splitlines()) == 5
+    back = read_csv(spark, f"file://{tmp_path}/one.csv", ("a", "b"), eager=True)
+    assert values(back, "col1", "col2") == [[1, 2, 3, 4], [5, 6, 7, 8]]
+    base.to_csv(f"file://{tmp_path}/two.csv", sep=";", header=False, index=False)
+    assert (tmp_path / "two.csv").read_text().splitlines()[0] == "1;5.0"
+    base.to_csv(f"file://{tmp_path}/many", single=False)
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/many").count() == 4
