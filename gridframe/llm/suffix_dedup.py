@@ -39,7 +39,7 @@ from . import scratch, suffix
 from . import text as tx
 
 LENGTH, GRAM = 50, 16
-CHUNK_BYTES, FLUSH_BYTES, SHARD_BYTES, LEVEL = 1 << 20, 5 << 20, 1 << 20, 3
+CHUNK_BYTES, FLUSH_BYTES, SHARD_BYTES, LEVEL = 1 << 20, 10 << 20, 1 << 20, 5
 NO_ID = (1 << 63) - 1
 _FAR = np.int64(1 << 40)
 
@@ -236,7 +236,17 @@ def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-_GONE = (np.int64, np.uint32, np.uint32, np.uint32)  # id, digest of the text, start, end
+_GONE = (np.int64, np.uint32, np.uint32, np.uint32)  # id, digest of the text, start, length
+
+
+def _pack_gone(ids: np.ndarray, digest: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
+    by = np.lexsort((start, digest, ids))  # in order they compress better
+    return _pack(ids[by], digest[by], start[by].astype(np.uint32), (end - start)[by].astype(np.uint32))
+
+
+def _unpack_gone(blob: bytes) -> tuple[np.ndarray, ...]:
+    ids, digest, start, size = _unpack(blob, *_GONE)
+    return ids, digest, start, start + size
 
 
 def _texts(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -287,7 +297,7 @@ def _cutter(length: int, gram: int, seats: list[int]):
             own, s, e = merge_spans(doc[settled], (first - begin[doc])[settled], (first - begin[doc] + length_)[settled])
             rows, where = [], []
             gone = [None] * n
-            gone[turn % n] = _pack(ids[own], digest[own], s.astype(np.uint32), e.astype(np.uint32)) if len(own) else None
+            gone[turn % n] = _pack_gone(ids[own], digest[own], s, e) if len(own) else None
             turn += 1
             send = np.flatnonzero(~settled)
             spread = tx.mix(seg["anchor"][send] + tx.U64(1))  # anchors are least hashes, and so mostly small
@@ -330,7 +340,7 @@ def _sharder(length: int, gram: int, seats: list[int]):
         for batch in batches:
             for sent, gone in zip(batch.column(1), batch.column(2), strict=True):
                 if gone.is_valid:
-                    parts.append(tuple(_unpack(gone.as_py(), *_GONE)))
+                    parts.append(_unpack_gone(gone.as_py()))
                 if sent.is_valid:
                     ids, digest, local, start, size, place, content = _unpack(sent.as_py(), *_SEGMENT)
                     got.append((ids[local], digest[local], start, size, place, content))
@@ -357,7 +367,7 @@ def _sharder(length: int, gram: int, seats: list[int]):
         for b in range(len(seats)):
             g = by[cut[b] : cut[b + 1]]
             if len(g):
-                rows.append(_pack(ids[g], digest[g], start[g], end[g]))
+                rows.append(_pack_gone(ids[g], digest[g], start[g], end[g]))
                 where.append(seats[b])
         yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(rows, pa.binary()), pa.nulls(len(rows), pa.binary())], ["bucket", "gone", "docs"])
 
@@ -370,7 +380,7 @@ def _packer(seats: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tx.steady_memory()
         n = len(seats)
-        for ids, raw, offs in _texts(batches, FLUSH_BYTES):
+        for ids, raw, offs in _texts(batches, 2 * FLUSH_BYTES):
             bucket = _doc_bucket(ids, n)
             by = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[by], np.arange(n + 1))
@@ -394,7 +404,7 @@ def _finisher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for gone, docs in zip(batch.column(1), batch.column(2), strict=True):
             if gone.is_valid:
-                parts.append(tuple(_unpack(gone.as_py(), *_GONE)))
+                parts.append(_unpack_gone(gone.as_py()))
             if docs.is_valid:
                 blocks.append(docs.as_py())
     if parts:
@@ -435,7 +445,7 @@ def _finisher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """id (long), n_bytes, n_removed, n_spans, spans (flat byte offsets) and kept (binary) of every document."""
     spark = docs.sparkSession
-    n = 2 * scratch.partitions(spark)  # segments take several times their text
+    n = scratch.partitions(spark)
     seats = scratch.placement(spark, n)
     thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     cut = thin.mapInArrow(_cutter(length, gram, seats), "bucket int, sent binary, gone binary").repartition(n, "bucket")
