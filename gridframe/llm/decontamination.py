@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
 from . import text as tx
 
 WINDOW, SHINGLE = 10, 3
@@ -205,7 +206,7 @@ def find_hits(
     block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
     """``keep`` columns (as ``k0``, ``k1`` ..), ``text``, ``n_words``, ``hits`` (flat word spans) and ``items``."""
-    spark = docs.sparkSession
+    scratch.small_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
     n = items.count()
     blocks = max(1, -(-n // block_items))

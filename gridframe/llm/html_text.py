@@ -208,6 +208,7 @@ def _run(min_run: int, min_pages: int):
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_run: int = MIN_RUN, min_pages: int = MIN_PAGES, shard_pages: int = SHARD_PAGES) -> DataFrame:
     """id, url, text and n_chars of every page."""
     spark = pages.sparkSession
+    scratch.small_batches(spark)
     thin = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     sizes = scratch.table(thin.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / shard_pages).alias("shards"))).withColumnRenamed("host", "_host")
     side = F.broadcast(sizes) if sizes.count() <= BROADCAST_HOSTS else sizes

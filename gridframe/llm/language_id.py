@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scratch
 from . import text as tx
 
 TRAIN_DOCS, LANGUAGES, NGRAM, SLOT_BITS, HASHES, LEAST = 400, 64, 5, 20, 3, 2
@@ -149,6 +150,7 @@ def _run(model: Model):
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns (as ``k0`` ..), ``text``, ``lang_pred``, ``score`` and ``known``."""
+    scratch.small_batches(docs.sparkSession)
     frame = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema], "lang_pred string, score double, known double"])
     return frame.mapInArrow(_run(model), schema)

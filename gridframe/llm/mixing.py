@@ -71,6 +71,7 @@ def mix(
     weights: Sequence[float] = WEIGHTS,
     seed: str = SEED,
     buckets: int = BUCKETS,
+    corrections: int = CORRECTIONS,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per document: id, size, source_size, target, copies, taken, then ``keep``.
@@ -124,7 +125,7 @@ def mix(
     in_order = F.coalesce(F.col("_edge").isNull() | (F.col("_slice") < F.col("_edge")) | ((F.col("_slice") == F.col("_edge")) & (F.col("_k") <= F.col("_cut"))), F.lit(False))
     chosen = in_order
     edge = scratch.table(beside(edge, drawn.groupBy("_src").agg(F.first("_left").alias("_left"))).withColumn("_gap", F.col("_left") - F.col("_used")).drop("_left"))
-    for i in range(CORRECTIONS):
+    for i in range(corrections):
         gap = F.col("_gap")
         off = F.abs(F.col("_size") - F.abs(gap))
         open_ = beside(drawn.drop("_left"), edge).filter(((gap > 0) & ~chosen) | ((gap < 0) & chosen)).withColumn("_off", off).filter(F.col("_off") < F.abs(gap))

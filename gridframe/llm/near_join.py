@@ -365,6 +365,7 @@ def _across(tiles: DataFrame, comp: DataFrame, texts: DataFrame, percent: int, n
 def group_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles and component_id (least id of the component) of every document."""
     spark = docs.sparkSession
+    scratch.small_batches(spark)
     n = scratch.partitions(spark)
     bands = Bands(percent)
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

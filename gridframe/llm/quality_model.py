@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
 from . import text as tx
 
 TRAIN_ROWS, EPOCHS, SEED = 2000, 14, 11
@@ -205,6 +206,7 @@ def _run(net: Network):
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 3, held: int = 1, **options) -> DataFrame:
     """id, held_out, score and predicted of every document."""
     net = learn(docs, labels, id_col=id_col, text_col=text_col, folds=folds, held=held, **options)
+    scratch.small_batches(docs.sparkSession)
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     scored = thin.mapInArrow(_run(net), f"id {thin.schema[0].dataType.simpleString()}, score double")
     out = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % folds == held, F.lit(False))

@@ -86,6 +86,7 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """id, host and the measures of each document."""
+    scratch.small_batches(docs.sparkSession)
     thin = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     kinds = [f"`{c}` {thin.schema[c].dataType.simpleString()}" for c in ("id", "host")]
     return thin.mapInArrow(_run, ", ".join([*kinds, *[f"{m} long" for m in MEASURES]]))

@@ -13,10 +13,21 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _roots: dict[str, str] = {}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of about 4 MB instead of the default 64 MB, in the JVM and in workers.
+
+    Texts are long: at the default, the batches of a few tasks take a fair part
+    of an executor's memory.  A size that has been set otherwise stays.
+    """
+    if spark.conf.get(_BATCH) in ("67108864b", "64m"):
+        spark.conf.set(_BATCH, "4m")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder of this application below ``spark.checkpoint.dir``."""
     app = spark.sparkContext.applicationId

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
 from . import text as tx
 
 CHUNK_BYTES = 1 << 20
@@ -228,6 +229,7 @@ def find_spans(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...]
 
     A span is kind, start, end, and the offset from which the secret itself runs.
     """
+    scratch.small_batches(docs.sparkSession)
     frame = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema], "spans array<struct<kind:string,start:int,end:int,`from`:int>>"])
     return frame.mapInArrow(_run(rules), schema)

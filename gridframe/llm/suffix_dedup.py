@@ -445,6 +445,7 @@ def _finisher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """id (long), n_bytes, n_removed, n_spans, spans (flat byte offsets) and kept (binary) of every document."""
     spark = docs.sparkSession
+    scratch.small_batches(spark)
     n = scratch.partitions(spark)
     seats = scratch.placement(spark, n)
     thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
