@@ -417,3 +417,16 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     if kept.count() > kept.where("i is not null").distinct().count():  # repeated ids, or none
         left = left.withColumn("_gf_text", F.xxhash64(text_col)).dropDuplicates([id_col, "_gf_text"]).drop("_gf_text")
     return left
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 3), ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS v, doc_id AS m FROM d UNION SELECT e.y, r.m FROM r JOIN e ON r.v = e.x WHERE r.m < e.y)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT v, min(m) AS component_id FROM r GROUP BY v) c ON c.v = d.doc_id
+"""

@@ -85,5 +85,8 @@ ORACLE_SQL = {
     "op1_mixing": mixing.ORACLE_SQL,
     "op2_decontamination": decontamination.ORACLE_SQL,
     "op5_url_filter": url_filter.ORACLE_SQL,
+    "op6_suffix_dedup": suffix_dedup.ORACLE_SQL,
+    "op8_near_join": near_join.ORACLE_SQL,
+    "op9_secret_scan": secret_scan.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
 }

@@ -57,7 +57,7 @@ RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
-    Rule("url_login", r"://[A-Za-z0-9._-]+:[^\s:@/]{3,}@"),
+    Rule("url_login", r"://[A-Za-z0-9._-]+:[^\x00-\x20:@/]{3,}@"),
 )
 
 # A query is True (nothing mandatory), a trigram (bytes), or ("and" | "or", parts).
@@ -255,3 +255,35 @@ def redact(text, spans, mark: str = "[REDACTED]"):
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
     )
     return F.when(F.size(spans) > 0, state).otherwise(text)
+
+
+def _sql() -> str:
+    """Match positions from the pieces between matches; letters in either case spelled out."""
+
+    def pattern(rule: Rule) -> str:
+        if not rule.either_case:
+            return rule.pattern
+        head, rest = rule.pattern.split(")", 1)
+        return re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", head) + ")" + rest
+
+    def arm(k: int, rule: Rule) -> str:
+        rx = pattern(rule).replace("'", "''")
+        least = f"WHERE len(regexp_extract(m, '{rx}', {rule.group})) >= {rule.least}"
+        return f"""SELECT doc_id, {k} AS k, '{rule.kind}' AS kind, {str(rule.base).lower()} AS base, CAST(s AS BIGINT) AS s, CAST(s + len(m) AS BIGINT) AS e FROM (
+  SELECT doc_id, ms[i] AS m, list_sum(list_transform(ps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: len(x))), 0) AS s FROM (
+    SELECT doc_id, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM (
+      SELECT doc_id, regexp_extract_all(t, '{rx}') AS ms, string_split_regex(t, '{rx}') AS ps FROM d WHERE regexp_matches(t, '{rx}')))) {least}"""
+
+    arms = "\nUNION ALL\n".join(arm(k, r) for k, r in enumerate(RULES))
+    kinds = [r.kind for r in RULES if r.base]
+    counts = ", ".join(f"CAST(count(*) FILTER (WHERE kind = '{k}') AS BIGINT) AS n_{k}" for k in kinds)
+    one = "kind || ':' || s || ':' || e"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+x AS ({arms}),
+a AS (SELECT doc_id, {counts}, coalesce(string_agg({one}, ',' ORDER BY s, k) FILTER (WHERE base), '') AS base, string_agg({one}, ',' ORDER BY s, k) AS spans FROM x GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in kinds)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a ON a.doc_id = d.doc_id
+"""
+
+
+ORACLE_SQL = _sql()
