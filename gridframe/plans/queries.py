@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
@@ -13,20 +12,20 @@ from pyspark.sql import types as T
 from .. import operators as op
 from ..functions import abs_diff, date_text, days_to_date, near, relabel, scale, year_month
 from ..operators import Frame
-from ..sources import read_csv, read_grid
+from ..session import shared_folder
+from ..sources import formats, read_csv, read_grid
 from . import pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None):
-    """Register a function under its name, with its SQL where there is one."""
+def query(sql: str, name: str | None = None):
+    """Register a function under its name, or another, with its SQL."""
 
     def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLE_SQL[fn.__name__] = sql
+        QUERIES[name or fn.__name__] = fn
+        ORACLE_SQL[name or fn.__name__] = sql
         return fn
 
     return add
@@ -364,14 +363,11 @@ def union_by_name(spark, sf_dir):
     return a.append(b).df
 
 
-@query("SELECT o_orderkey, CAST(DATE '1950-01-01' + CAST(o_orderkey % 20000 AS INTEGER) AS DATE) AS d FROM orders")
-def days_to_date_(spark, sf_dir):
+@query("SELECT o_orderkey, CAST(DATE '1950-01-01' + CAST(o_orderkey % 20000 AS INTEGER) AS DATE) AS d FROM orders", "days_to_date")
+def days_to_date_query(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", days_to_date(F.col("o_orderkey") % 20000).alias("d"))
 
 
-QUERIES["days_to_date"], ORACLE_SQL["days_to_date"] = QUERIES.pop("days_to_date_"), ORACLE_SQL.pop("days_to_date_")
-
-
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y%m') AS ym FROM orders")
 def year_month_str(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", year_month("o_orderdate").alias("ym"))
@@ -382,22 +378,16 @@ def year_month_int(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", year_month("o_orderdate", as_int=True).alias("ym"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders")
-def date_text_(spark, sf_dir):
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders", "date_text")
+def date_text_query(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", date_text("o_orderdate").alias("d"))
 
 
-QUERIES["date_text"], ORACLE_SQL["date_text"] = QUERIES.pop("date_text_"), ORACLE_SQL.pop("date_text_")
-
-
-@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS status FROM orders")
-def relabel_(spark, sf_dir):
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS status FROM orders", "relabel")
+def relabel_query(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", relabel("o_orderstatus", {"F": "filled", "O": "open"}).alias("status"))
 
 
-QUERIES["relabel"], ORACLE_SQL["relabel"] = QUERIES.pop("relabel_"), ORACLE_SQL.pop("relabel_")
-
-
 @query("SELECT n_nationkey, n_nationkey + 2 AS v, greatest(n_nationkey, n_regionkey) - least(n_nationkey, n_regionkey) AS w FROM nation")
 def map_expr(spark, sf_dir):
     f = nation(spark, sf_dir).assign("k", F.col("n_nationkey"))
@@ -426,7 +416,7 @@ def time_range(spark, sf_dir):
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def csv_roundtrip(spark, sf_dir):
-    path = f"{tempfile.mkdtemp(prefix='gridframe-')}/nation.csv"
+    path = f"{shared_folder(spark)}/nation.csv"
     nation(spark, sf_dir).to_csv(path)
     return read_csv(spark, path, schema="n_nationkey int, n_name string, n_regionkey int").df
 
@@ -460,7 +450,8 @@ data:
     FROM (SELECT range AS x FROM range(2)), (SELECT range AS y FROM range(3)), (SELECT range AS t FROM range(2))"""
 )
 def grid_cdl(spark, sf_dir):
-    path = Path(tempfile.mkdtemp(prefix="gridframe-"), "sample.cdl")
+    path = Path(formats.local(shared_folder(spark)), "sample.cdl")
+    path.parent.mkdir(parents=True)
     path.write_text(CDL)
     return read_grid(spark, str(path)).keyed().df
 

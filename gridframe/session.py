@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +24,9 @@ def build_session(app: str = "gridframe", master: str | None = None, **conf: str
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name that driver and executors share: below ``spark.checkpoint.dir``, or temporary where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gridframe-")
+    return f"{base.rstrip('/')}/gridframe-{uuid.uuid4().hex}"
