@@ -47,6 +47,7 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _DROP = frozenset("nav footer aside form head button dialog menu title option fieldset".split())
 _MAIN = frozenset("article main".split())
+_BODY = frozenset("body article main".split())
 _ENDS_ITSELF = frozenset("p li dt dd tr td th option".split())
 _WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer header masthead topbar cookie cookies consent gdpr notice notices "
@@ -101,9 +102,10 @@ def blocks(page: str) -> list[tuple[int, str]]:
             parts.append(" ")
             continue
         if drop:
-            if drop in _ENDS_ITSELF and not closing and tag == drop:
+            again = drop in _ENDS_ITSELF and not closing and tag == drop
+            if again or (drop == "p" and tag != "p" and tag not in _INLINE) or (drop == "head" and tag in _BODY):
                 flush()
-                drop = None
+                drop = None  # its end tag is left out
             elif tag == drop and not attrs.endswith("/"):
                 depth += -1 if closing else 1
                 if depth == 0:

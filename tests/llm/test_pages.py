@@ -93,6 +93,9 @@ CASES = [
     (page("<p class=ad>buy<p>kept</p><p hidden>no</p>"), "kept"),
     (page("<p>1 < 2 & 3 > 2</p>"), "1 < 2 & 3 > 2"),
     ("<main role='main'><p>in main</p></main><p>out</p>", "in main"),
+    ("<head><title>x<body><p>y", "y"),
+    (page("<p class='ad'>buy<div>kept</div>"), "kept"),
+    (page("<p>kept<p id=ad>buy"), "kept"),
     ("<p title='a>b'>quoted</p>", "quoted"),
 ]
 
