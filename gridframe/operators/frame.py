@@ -126,7 +126,7 @@ class Frame:
     def _all(self, op: str, value) -> Frame:
         fields = self.df.schema
         own = [arithmetic(F.col(f"`{c}`"), op, literal(value, fields[c].dataType, self.coerce), fields[c].dataType, self.coerce).alias(c) if isinstance(fields[c].dataType, NUMERIC) else F.col(f"`{c}`") for c in self.columns]
-        return self._new(self.df.select(*self.index, *own))
+        return self._new(self.df.select(*[c for c in self.df.columns if c not in self.columns], *own))
 
     def __add__(self, value) -> Frame:
         return self._all("+", value)

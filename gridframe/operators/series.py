@@ -137,11 +137,10 @@ class Series:
         return self._with(native_column(self.column, fn, kind.simpleString(), [s.column for s in inputs]), kind)
 
     def to_frame(self, name: str | None = None) -> Frame:
-        from .frame import Frame
-
+        """The column beside the index, under a name."""
         name = name or self.name
-        keys = [c for c in self.frame.order if c != name]
-        return Frame(self.frame.df.select(*keys, self.column.alias(name)), self.frame.index, self.frame.order, self.frame.coerce)
+        keys = [c for c in dict.fromkeys([*self.frame.index, *self.frame.order]) if c != name]
+        return self.frame._new(self.frame.df.select(*keys, self.column.alias(name)))
 
     def agg(self, names: Sequence[str]) -> DataFrame:
         """Rows (agg, value) of one pass."""

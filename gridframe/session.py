@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "gridframe", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive execution, UTC, Arrow and filter pushdown into Python sources."""
+    """A session with adaptive execution, UTC and Arrow."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -18,7 +18,6 @@ def build_session(app: str = "gridframe", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.python.filterPushdown.enabled": "true",
         "spark.ui.enabled": "false",
     }
     for key, value in (settings | conf).items():

@@ -1,12 +1,15 @@
 """The grid source: n-dimensional variables as rows, one for each cell.
 
 Dimensions become key columns, variables value columns.  A cell's row number
-follows from its indices, so a range filter on ``_row_id`` is answered by
-reading only that range.
+follows from its indices, so a slice of a scan reads only its range.
 
-Options: ``variables`` (comma-separated, read no others), ``dim_order``
-("variable": each variable is read in its own order of dimensions; "declared":
-values are taken in file order whatever their dimensions), ``partition_rows``.
+Options: ``variables`` (comma-separated, read no others), ``start`` and ``stop``
+(rows to read), ``dim_order`` ("variable": each variable is read in its own
+order of dimensions; "declared": values are taken in file order whatever their
+dimensions), ``partition_rows``.
+
+The range is an option rather than a pushed filter, since a scan keeps the
+filters that one query has pushed into a Python source for later queries too.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ByteType, DataType, DateType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructField, StructType
 
 from ..operators.frame import Frame
@@ -64,25 +67,9 @@ class GridReader(DataSourceReader):
         self.path, self.schema = options["path"], schema
         self.declared = options.get("dim_order", "variable") == "declared"
         self.rows = int(options.get("partition_rows", 1_000_000))
-        self.low, self.high = 0, formats.read_header(self.path)[1].cells
-
-    def pushFilters(self, filters):  # noqa: N802
-        """Take bounds of the row number; leave all other filters to Spark."""
-        for f in filters:
-            if getattr(f, "attribute", None) == (ROW_ID,):
-                if isinstance(f, GreaterThanOrEqual):
-                    self.low = max(self.low, int(f.value))
-                    continue
-                if isinstance(f, GreaterThan):
-                    self.low = max(self.low, int(f.value) + 1)
-                    continue
-                if isinstance(f, LessThan):
-                    self.high = min(self.high, int(f.value))
-                    continue
-                if isinstance(f, LessThanOrEqual):
-                    self.high = min(self.high, int(f.value) + 1)
-                    continue
-            yield f
+        cells = formats.read_header(self.path)[1].cells
+        self.low = min(int(options.get("start", 0)), cells)
+        self.high = min(int(options.get("stop", cells)), cells)
 
     def partitions(self) -> Sequence[InputPartition]:
         return [GridPartition(a, min(a + self.rows, self.high)) for a in range(self.low, self.high, self.rows)] or [GridPartition(0, 0)]
@@ -137,20 +124,17 @@ class GridDataSource(DataSource):
 
 
 def register_grid(spark: SparkSession) -> None:
-    """Make the format known to a session, and let it push filters into the reader."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Make the format known to a session."""
     spark.dataSource.register(GridDataSource)
 
 
 def read_grid(spark: SparkSession, path: str, variables: Sequence[str] | None = None, dim_order: str = "variable", eager: bool = False, partition_rows: int = 1_000_000) -> Frame:
     """A grid file as a frame: dimensions are its index, and rows follow their declared order."""
     register_grid(spark)
-    reader = spark.read.format("grid").option("dim_order", dim_order).option("partition_rows", partition_rows)
+    options = {"path": path, "dim_order": dim_order, "partition_rows": str(partition_rows)}
     if variables:
-        reader = reader.option("variables", ",".join(variables))
-    df = reader.load(path)
-    dims = [d for d in formats.read_header(path)[1].dims]
-    frame = GridFrame(df, dims, (ROW_ID,))
+        options["variables"] = ",".join(variables)
+    frame = GridFrame.scanned(spark, options)
     if eager:
         frame = frame.cache()
         frame.df.count()
@@ -158,7 +142,20 @@ def read_grid(spark: SparkSession, path: str, variables: Sequence[str] | None =
 
 
 class GridFrame(Frame):
-    """A frame whose rows carry their number; a slice is a range that the source can answer."""
+    """A frame whose rows carry their number.
+
+    While it is a bare scan (``options``), slices and selections become options
+    of a new scan; later ones are those of any frame.
+    """
+
+    options: dict | None = None
+
+    @classmethod
+    def scanned(cls, spark: SparkSession, options: dict, coerce: str = "column") -> GridFrame:
+        df = spark.read.format("grid").options(**options).load()
+        out = cls(df, list(formats.read_header(options["path"])[1].dims), (ROW_ID,), coerce)
+        out.options = options
+        return out
 
     @property
     def columns(self) -> list[str]:
@@ -169,13 +166,14 @@ class GridFrame(Frame):
         return {c: k for c, k in super().dtypes.items() if c != ROW_ID}
 
     def slice(self, start: int | None, stop: int | None, step: int | None = None) -> Frame:
-        start, step = start or 0, step or 1
-        df = self.df.filter(f"{ROW_ID} >= {int(start)}")
+        if self.options is None or (start or 0) < 0 or (stop or 0) < 0 or (step or 1) < 1:
+            return super().slice(start, stop, step)
+        base = int(self.options.get("start", 0))
+        bounds = {"start": str(base + (start or 0))}
         if stop is not None:
-            df = df.filter(f"{ROW_ID} < {int(stop)}")
-        if step > 1:
-            df = df.filter(f"pmod({ROW_ID} - {int(start)}, {int(step)}) = 0")
-        return self.keyed(df)
+            bounds["stop"] = str(min(base + stop, int(self.options.get("stop", base + stop))))
+        out = self.scanned(self.df.sparkSession, self.options | bounds, self.coerce)
+        return out if (step or 1) == 1 else out._new(out.df.filter(f"pmod({ROW_ID} - {bounds['start']}, {int(step)}) = 0"))
 
     def keyed(self, df=None) -> Frame:
         """The plain frame ordered by its dimensions, without row numbers."""
@@ -187,6 +185,8 @@ class GridFrame(Frame):
         return out if ROW_ID not in df.columns else GridFrame(out.df, out.index, out.order, out.coerce)
 
     def select(self, columns: Sequence[str]) -> Frame:
+        if self.options is not None and columns and all(c in self.columns for c in columns):
+            return self.scanned(self.df.sparkSession, self.options | {"variables": ",".join(columns)}, self.coerce)
         return self._new(self.df.select(ROW_ID, *self.index, *[c for c in columns if c not in self.index]))
 
     def merge(self, right: Frame, *args, **options) -> Frame:
@@ -196,5 +196,8 @@ class GridFrame(Frame):
     def set_index(self, columns: Sequence[str]) -> Frame:
         return self.keyed().set_index(columns)
 
+    def to_csv(self, path: str, *args, **options) -> None:
+        self.keyed().to_csv(path, *args, **options)
+
     def evaluate(self):
         return self._ordered(self.df).drop(ROW_ID).toPandas()

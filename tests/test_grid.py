@@ -60,14 +60,31 @@ def test_head_slice_filter(spark, cdl):
     assert len(read_grid(spark, cdl, eager=True)) == 6
 
 
-def test_slice_bounds_reach_the_reader(spark, cdl):
-    plan = read_grid(spark, cdl)[2:4].df._jdf.queryExecution().executedPlan().toString()
-    assert "_row_id" in plan
-    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
-
-    reader = GridReader(read_grid(spark, cdl).df.schema, {"path": cdl})
-    rest = list(reader.pushFilters([GreaterThanOrEqual(("_row_id",), 2), LessThan(("_row_id",), 4), EqualTo(("n",), 3)]))
-    assert len(rest) == 1 and [(p.start, p.stop) for p in reader.partitions()] == [(2, 4)]
+def test_operations_keep_the_grid(spark, cdl, tmp_path):
+    f = read_grid(spark, f"file://{cdl}")
+    assert (f[["n"]] + 1)[1:3].evaluate().n.tolist() == [3, 5]
+    assert f["n"][2:4].to_frame("m").evaluate().m.tolist() == [4, 1]
+    assert f["n"].head(2).evaluate().tolist() == [0, 2]
+    assert f.drop("tg").rename({"n": "k"})[:2].evaluate().columns.tolist() == ["longitude", "latitude", "k"]
+    assert f.groupby("longitude").sum().columns == ["tg", "n"]
+    f.to_csv(f"file://{tmp_path}/g.csv")
+    assert (tmp_path / "g.csv").read_text().splitlines()[0] == "longitude,latitude,tg,n"
+    assert dict((r["column"], r["sum"]) for r in f[["n"]].sum().collect()) == {"n": 15.0}
+
+
+def test_slices_read_their_range_only(spark, cdl):
+    f = read_grid(spark, cdl)
+    part = f[1:5][1:3]
+    assert part.options["start"] == "2" and part.options["stop"] == "4" and part.evaluate().n.tolist() == [4, 1]
+    reader = GridReader(f.df.schema, part.options)
+    assert [(p.start, p.stop) for p in reader.partitions()] == [(2, 4)]
+    assert f.evaluate().n.tolist() == [0, 2, 4, 1, 3, 5]  # as it was
+    assert f[4:99].evaluate().n.tolist() == [3, 5] and f[9:].evaluate().n.tolist() == []
+
+
+def test_slice_after_a_filter_is_of_the_result(spark, cdl):
+    f = read_grid(spark, cdl)
+    assert f[f["n"] > 1][1:3].evaluate().n.tolist() == [4, 3]
 
 
 def grids(folder):
