@@ -7,12 +7,13 @@ part and the content of that part; all similar pairs meet in a tile, and none
 is lost.  (Parts may be empty: E spare parts make up for up to E empty ones,
 and a set with more of them also enters tiles of its empty parts.)
 
-In a tile every set is linked to one hub and verified by exact intersection of
-sorted arrays.  What the verified links leave unconnected within a tile is
-compared pair by pair: parity bitmaps bound the overlap from above
-(|A xor B| is at least the popcount of the xor).  First each set is verified
-with the one set of another component that it may overlap most; then, with the
-components that this leaves, all pairs that pass the bound are.  Equal sets are one class from the start, named by a 64-bit
+Parity bitmaps bound the overlap of two sets from above: |A xor B| is at least
+the popcount of the bitmaps' xor.  In a tile every set is paired with one hub;
+the pairs that pass the bound are verified by exact intersection of sorted
+arrays.  What the verified links leave unconnected within a tile is compared
+pair by pair: first, in some of the tiles, each set is verified with the one
+set of another component that it may overlap most; then, with the components
+that this leaves, all pairs of all tiles that pass the bound are.  Equal sets are one class from the start, named by a 64-bit
 digest; components are found by contraction and named by least document id.
 
 Hot groups: a batch sends each tile key once with its local hub, hubs with many
@@ -37,7 +38,7 @@ from . import text as tx
 
 SHINGLE, PERCENT, RATIO = 4, 85, 1.6
 CHUNK_BYTES, FLUSH_ROWS = 1 << 20, 700_000
-HUB_MEMBERS, CELL = 1000, 1500
+HUB_MEMBERS, CELL, NEAREST_TILES = 1000, 1500, 8
 #: classes whose ids are broadcast to fetch their texts; a shuffled join beyond
 BROADCAST_IDS = 1_000_000
 
@@ -181,8 +182,8 @@ def _tiler(bands: Bands, k: int, buckets: int):
                 local.append(m.tobytes())
             n = len(rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(n), pa.int32()), pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(rows, pa.binary()), pa.array(local, pa.binary())],
-                ["bucket", "id", "n", "cls", "sent", "near"],
+                [pa.array(np.arange(n), pa.int32()), pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(rows, pa.binary()), pa.array(local, pa.binary())],
+                ["bucket", "id", "n", "cls", "bits", "sent", "near"],
             )
 
         for batch in batches:
@@ -197,8 +198,8 @@ def _tiler(bands: Bands, k: int, buckets: int):
                 turn += 1
                 rows = part.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((np.arange(rows) + turn) % buckets, pa.int32()), part.column(0), pa.array(n.astype(np.int64)), pa.array(cls), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.binary())],
-                    ["bucket", "id", "n", "cls", "sent", "near"],
+                    [pa.array((np.arange(rows) + turn) % buckets, pa.int32()), part.column(0), pa.array(n.astype(np.int64)), pa.array(cls), _bitmaps(hs, ds, n), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.binary())],
+                    ["bucket", "id", "n", "cls", "bits", "sent", "near"],
                 )
                 if held >= FLUSH_ROWS:
                     yield from flush()
@@ -214,19 +215,19 @@ def _joiner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def tiles(k: np.ndarray, c: np.ndarray, hub: np.ndarray) -> pa.RecordBatch:
         n = len(k)
-        return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.array(c), pa.array(k), pa.array(hub)], ["id", "n", "cls", "key", "hub"])
+        return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.array(c), pa.nulls(n, pa.binary()), pa.array(k), pa.array(hub)], ["id", "n", "cls", "bits", "key", "hub"])
 
     for batch in batches:
         kind = batch.schema.field("id").type
-        payload = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+        payload = batch.column(5).is_valid().to_numpy(zero_copy_only=False)
         docs = batch.filter(pa.array(~payload))
         if docs.num_rows:
             none = pa.nulls(docs.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([docs.column(1), docs.column(2), docs.column(3), none, none], ["id", "n", "cls", "key", "hub"])
+            yield pa.RecordBatch.from_arrays([docs.column(1), docs.column(2), docs.column(3), docs.column(4), none, none], ["id", "n", "cls", "bits", "key", "hub"])
         rest = batch.filter(pa.array(payload))
         for i in range(rest.num_rows):
-            sent.append(np.frombuffer(rest.column(4)[i].as_py(), np.int64).reshape(2, -1))
-            near = np.frombuffer(rest.column(5)[i].as_py(), np.int64).reshape(3, -1)
+            sent.append(np.frombuffer(rest.column(5)[i].as_py(), np.int64).reshape(2, -1))
+            near = np.frombuffer(rest.column(6)[i].as_py(), np.int64).reshape(3, -1)
             if near.shape[1]:
                 yield tiles(*near)
     if sent:
@@ -246,12 +247,36 @@ def _bitmaps(hs: np.ndarray, ds: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((base // 8).astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
 
 
-def _signer(k: int):
+def _differ(a: bytes, b: bytes) -> int:
+    """At least so many shingles are in one of two sets only."""
+    n = min(len(a), len(b)) // 8
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(m, np.uint64).reshape(-1, n), 0) for m in (a, b))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _bounder(percent: int):
+    """Pairs that sizes and bitmaps don't exclude."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("na", "nb"))
+            fits = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+            x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("bits_a", "bits_b"))
+            for i in np.flatnonzero(fits).tolist():
+                fits[i] = (100 + percent) * _differ(x[i].as_py(), y[i].as_py()) <= (100 - percent) * int(na[i] + nb[i])
+            keep = pa.array(fits)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).filter(keep) for c in ("a", "b")], ["a", "b"])
+
+    return run
+
+
+def _namer(k: int):
+    """Texts with their classes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tx.slices(batch, "text", CHUNK_BYTES):
-                hs, ds, n = sets_of(*tx.buffers(part.column(0)), k)
-                yield pa.RecordBatch.from_arrays([pa.array(classes_of(hs, ds, n)), pa.array(n.astype(np.int64)), _bitmaps(hs, ds, n), part.column(0)], ["cls", "n", "bits", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(classes_of(*sets_of(*tx.buffers(part.column(0)), k))), part.column(0)], ["cls", "text"])
 
     return run
 
@@ -292,6 +317,7 @@ def _crosser(percent: int, nearest: bool):
     def pairs(rows: list[tuple]) -> tuple[list, list]:
         cls = np.array([r[0] for r in rows])
         by = np.unique(cls, return_index=True)[1]
+        by = by[np.argsort(np.array([rows[i][2] for i in by]), kind="stable")]
         rows, cls = [rows[i] for i in by], cls[by]
         comp, n, block = (np.array([r[j] for r in rows]) for j in (1, 2, 4))
         least = min(len(r[3]) for r in rows)
@@ -301,7 +327,8 @@ def _crosser(percent: int, nearest: bool):
         apart = len(set(block.tolist())) > 1
         left, right = [], []
         for i in range(len(rows)):
-            j = np.arange(0 if nearest else i + 1, len(rows))
+            least_n = np.searchsorted(n, -(-n[i] * percent // 100)) if nearest else i + 1  # in order of size
+            j = np.arange(least_n, np.searchsorted(n, n[i] * 100 // percent, "right"))
             j = j[(comp[j] != comp[i]) & ((block[j] != block[i]) if apart else True)]
             if len(j):
                 differ = np.bitwise_count(maps[j] ^ maps[i]).sum(1).astype(np.int64)
@@ -339,8 +366,26 @@ def _crosser(percent: int, nearest: bool):
     return run
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int, n: int) -> DataFrame:
+def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps don't exclude."""
+    both = pairs
+    for c in "ab":
+        both = both.join(sets.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}")), c)
+    return both.mapInArrow(_bounder(percent), "a long, b long")
+
+
+def _texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(cls, text): one text for each class of the pairs."""
+    named = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    chosen = scratch.table(sets.join(named, "cls", "left_semi").select("i").distinct())
+    side = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
+    some = docs.join(side, F.col("id").eqNullSafe(F.col("i")), "left_semi").select("text")
+    return scratch.table(some.mapInArrow(_namer(k), "cls long, text string").dropDuplicates(["cls"]))
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int, n: int) -> DataFrame:
     """The similar ones of distinct pairs (a, b); hubs b with many members are split."""
+    texts = _texts(docs, sets, pairs, k)
     size = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB_MEMBERS).cast("int").alias("cells"))
     own = texts.select(F.col("cls").alias("c"), "text")
     members = pairs.join(size, "b").select("b", "a", F.pmod("a", "cells").cast("int").alias("cell"))
@@ -350,14 +395,20 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int, n: int) ->
     return rows.mapInArrow(_verifier(k, percent), "a long, b long")
 
 
-def _across(tiles: DataFrame, comp: DataFrame, texts: DataFrame, percent: int, n: int, nearest: bool) -> DataFrame:
-    """Distinct pairs (a < b) of tiles whose sets are in several components; large tiles are split into cells."""
+def _across(tiles: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, n: int, nearest: bool) -> DataFrame:
+    """Distinct pairs (a < b) of tiles whose sets are in several components; large tiles are split into cells.
+
+    The round of nearest sets looks at one tile in ``NEAREST_TILES``; it only
+    spares the round of all pairs work.
+    """
+    if nearest:
+        tiles = tiles.where(F.pmod("key", F.lit(NEAREST_TILES)) == 0)
     placed = tiles.join(comp, F.col("cls") == F.col("v"), "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
     torn = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", F.ceil(F.col("size") / CELL).cast("int").alias("cells"))
     left = placed.join(torn, "key").withColumn("block", F.pmod(F.xxhash64("cls"), "cells").cast("int"))
     left = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     left = left.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "cls", "comp", "block")
-    left = left.join(texts.select("cls", "n", "bits"), "cls").repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    left = left.join(sets.select("cls", "n", "bits"), "cls").repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     pairs = left.mapInArrow(_crosser(percent, nearest), "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -370,30 +421,25 @@ def group_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     bands = Bands(percent)
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = thin.schema[0].dataType.simpleString()
-    rows = thin.mapInArrow(_tiler(bands, shingle, 2 * n), f"bucket int, id {kind}, n long, cls long, sent binary, near binary")
-    rows = scratch.table(rows.repartition(n, "bucket").mapInArrow(_joiner, f"id {kind}, n long, cls long, key long, hub long"))
-    who = rows.where("key is null").select("id", "n", "cls")
+    rows = thin.mapInArrow(_tiler(bands, shingle, 2 * n), f"bucket int, id {kind}, n long, cls long, bits binary, sent binary, near binary")
+    rows = scratch.table(rows.repartition(n, "bucket").mapInArrow(_joiner, f"id {kind}, n long, cls long, bits binary, key long, hub long"))
+    who = rows.where("key is null").select("id", "n", "cls", "bits")
     tiles = rows.where("key is not null").select("key", "cls", "hub")
+    sets = scratch.table(who.join(tiles.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("id").alias("i")))
 
-    # One text for each class that shares a tile.
-    meeting = tiles.select("cls").distinct()
-    chosen = scratch.table(who.join(meeting, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("i")).select("i").distinct())
-    side = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
-    some = thin.join(side, F.col("id").eqNullSafe(F.col("i")), "left_semi").select("text")
-    texts = scratch.table(some.mapInArrow(_signer(shingle), "cls long, n long, bits binary, text string").dropDuplicates(["cls"]))
-
-    stars = scratch.table(tiles.where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct())
-    links = scratch.table(_verify(stars, texts, shingle, percent, n))
+    stars = tiles.where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = scratch.table(_bounded(stars, sets, percent))
+    links = scratch.table(_verify(stars, thin, sets, shingle, percent, n))
     comp = scratch.table(components.components(links))
 
     # Tiles that the links leave in several components.
     placed = scratch.table(tiles.select("key", "cls").union(tiles.select("key", F.col("hub").alias("cls"))).distinct())
     seen = stars.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     for nearest in (True, False):
-        across = scratch.table(_across(placed, comp, texts, percent, n, nearest).join(seen, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"))
+        across = scratch.table(_across(placed, comp, sets, percent, n, nearest).join(seen, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"))
         if not across.isEmpty():
             seen = seen.union(across.select(F.col("a").alias("x"), F.col("b").alias("y")))
-            links = links.union(scratch.table(_verify(across, texts, shingle, percent, n)))
+            links = links.union(scratch.table(_verify(across, thin, sets, shingle, percent, n)))
             comp = scratch.table(components.components(links))
 
     named = who.where("n > 0").join(comp, F.col("cls") == F.col("v"), "left").withColumn("comp", F.coalesce("comp", "cls"))
