@@ -450,7 +450,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     seats = scratch.placement(spark, n)
     thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     cut = thin.mapInArrow(_cutter(length, gram, seats), "bucket int, sent binary, gone binary").repartition(n, "bucket")
-    gone = cut.mapInArrow(_sharder(length, gram, seats), "bucket int, gone binary, docs binary")
+    # written, so that the segments' shuffle files go before the texts travel
+    gone = scratch.table(cut.mapInArrow(_sharder(length, gram, seats), "bucket int, gone binary, docs binary"))
     texts = thin.mapInArrow(_packer(seats), "bucket int, gone binary, docs binary")
     met = gone.union(texts).repartition(n, "bucket")
     return met.mapInArrow(_finisher, "id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary").withColumnRenamed("id", id_col)
