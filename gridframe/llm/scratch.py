@@ -51,13 +51,6 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def drop(df: DataFrame) -> None:
-    """Remove the files of a table that ``table`` wrote, once nothing reads it."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        _remove(df.sparkSession, path)
-
-
 def table(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written."""
     spark = df.sparkSession
@@ -68,9 +61,7 @@ def table(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def placement(spark: SparkSession, n: int) -> list[int]:
