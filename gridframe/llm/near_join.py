@@ -455,12 +455,12 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Repeated rows of one id and text are kept once; rows without an id are
     kept, once for each text.
     """
-    found = scratch.table(group_near_copies(docs, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("i"), "component_id"))
-    copies = scratch.table(found.where("i <> component_id").select("i").distinct())
+    found = scratch.table(group_near_copies(docs, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("_gf_id"), "component_id"))
+    copies = scratch.table(found.where("_gf_id <> component_id").select("_gf_id").distinct())
     side = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
-    left = docs.join(side, docs[id_col] == F.col("i"), "left_anti")
-    kept = found.where("i is null or i = component_id")
-    if kept.count() > kept.where("i is not null").distinct().count():  # repeated ids, or none
+    left = docs.join(side, docs[id_col] == copies["_gf_id"], "left_anti")
+    kept = found.where("_gf_id is null or _gf_id = component_id")
+    if kept.count() > kept.where("_gf_id is not null").distinct().count():  # repeated ids, or none
         left = left.withColumn("_gf_text", F.xxhash64(text_col)).dropDuplicates([id_col, "_gf_text"]).drop("_gf_text")
     return left
 

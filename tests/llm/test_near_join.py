@@ -114,6 +114,6 @@ def test_awkward_tables(docs_of):
 
 def test_keep_one(docs_of):
     t = " ".join(f"w{i}" for i in range(50))
-    docs = docs_of([t, t + " z", "other words", None, "other words"], ids=[4, 2, 7, 8, 7])
+    docs = docs_of([t, t + " z", "other words", None, "other words"], ids=[4, 2, 7, 8, 7]).withColumn("i", F.lit(2)).withColumn("component_id", F.lit("x"))
     got = near_join.keep_one(docs)
     assert sorted(r.doc_id for r in got.collect()) == [2, 7, 8] and got.columns == docs.columns
