@@ -464,7 +464,7 @@ c AS (SELECT *, abs(tx - tn) AS abs_diff FROM j WHERE rn >= n // 6 AND rn < n //
 
 
 def _joined(spark, sf_dir) -> tuple[Frame, tuple[int, int]]:
-    joined = grid(spark, sf_dir, 1).merge(grid(spark, sf_dir, 2))
+    joined = grid(spark, sf_dir, 1).merge(grid(spark, sf_dir, 2)).cache()  # counted, then sliced
     n = len(joined)
     return joined, (n // 6, n // 2)
 
