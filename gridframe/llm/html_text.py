@@ -4,9 +4,11 @@ A page becomes a stream of blocks; each block is dropped by its markup, taken
 as main content by its markup, or open.  The token streams of a host's pages
 are concatenated, a suffix array finds the runs of ``min_run`` tokens and more
 that repeat on distinct pages, and open blocks lose the tokens that such runs
-cover.  Content that the markup itself names as the article is not touched by
-repetition, since articles quote one another; pages without such markup keep
-the unique runs of their open blocks.
+cover, on pages with an article element as on others.  Content that the markup
+itself names as the article is not touched by repetition, since articles quote
+one another.  Where a host has fewer than ``min_pages`` distinct pages
+repetition can't tell; a page with an article then keeps the article alone, any
+other page all of its open blocks.
 
 Hosts are dealt out in shards of about ``shard_pages`` pages, so no host meets
 in one task.
@@ -159,8 +161,9 @@ def repeated_tokens(streams: list[list[str]], names: list, min_run: int = MIN_RU
     return np.split(np.cumsum(mark[:-1]) > 0, ends[:-1])
 
 
-def extract(pages: list[tuple[object, str]], min_run: int = MIN_RUN, min_pages: int = MIN_PAGES) -> list[str]:
-    """Main texts of pages (id, html) of one host shard."""
+def extract(pages: list[tuple[object, str]], min_run: int = MIN_RUN, min_pages: int = MIN_PAGES, tells: bool | None = None) -> list[str]:
+    """Main texts of pages (id, html) of one host shard; ``tells``: whether the host has ``min_pages`` pages, by default whether these are so many."""
+    tells = len({i for i, _ in pages}) >= min_pages if tells is None else tells
     parsed = [blocks(h) for _, h in pages]
     streams = [[w for _, t in b for w in t.split(" ")] for b in parsed]
     covered = repeated_tokens(streams, [i for i, _ in pages], min_run, min_pages)
@@ -172,7 +175,7 @@ def extract(pages: list[tuple[object, str]], min_run: int = MIN_RUN, min_pages:
             words = text.split(" ")
             if role == MAIN:
                 kept.append(text)
-            elif role == OPEN and not has_main:
+            elif role == OPEN and (tells or not has_main):
                 kept += [w for w, h in zip(words, hit[at : at + len(words)].tolist(), strict=True) if not h]
             at += len(words)
         out.append(" ".join(kept))
@@ -185,7 +188,7 @@ def _run(min_run: int, min_pages: int):
         shard = None
 
         def done() -> pa.RecordBatch:
-            texts = extract([(r[0], r[2] or "") for r in rows], min_run, min_pages)
+            texts = extract([(r[0], r[2] or "") for r in rows], min_run, min_pages, rows[0][3])
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
@@ -193,14 +196,14 @@ def _run(min_run: int, min_pages: int):
 
         for batch in batches:
             kind = batch.schema.field("page_id").type
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "url", "html", "host", "salt")]
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "url", "html", "tells", "host", "salt")]
             for i in range(batch.num_rows):
                 row = [c[i].as_py() for c in columns]
-                if shard != (row[3], row[4]) and rows:
+                if shard != (row[4], row[5]) and rows:
                     yield done()
                     rows = []
-                shard = (row[3], row[4])
-                rows.append(row[:3])
+                shard = (row[4], row[5])
+                rows.append(row[:4])
         if rows:
             yield done()
 
@@ -212,7 +215,8 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     spark = pages.sparkSession
     scratch.small_batches(spark)
     thin = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    sizes = scratch.table(thin.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / shard_pages).alias("shards"))).withColumnRenamed("host", "_host")
+    distinct = F.count_distinct(F.xxhash64("page_id"))  # null is an id as well
+    sizes = scratch.table(thin.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / shard_pages).alias("shards"), (distinct >= min_pages).alias("tells"))).withColumnRenamed("host", "_host")
     side = F.broadcast(sizes) if sizes.count() <= BROADCAST_HOSTS else sizes
     dealt = thin.join(side, F.col("host") == F.col("_host")).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), "shards")).drop("_host", "shards")
     n = scratch.partitions(spark)

@@ -119,6 +119,15 @@ def test_articles_may_quote_one_another():
     assert ht.extract([(i, page(same)) for i in range(5)]) == ["the very same paragraph of many words stands in each of them"] * 5
 
 
+def test_repeated_runs_decide_beside_an_article():
+    menu = "<div>Home News Sport Weather About Contact Login</div>"
+    own = [f"headline{i} of story{i}" for i in range(4)]
+    sources = [(i, f"<body>{menu}<div>{own[i]}</div><article><p>part{i}</p></article><div>rest{i}</div>{menu}</body>") for i in range(4)]
+    assert ht.extract(sources) == [f"{own[i]} part{i} rest{i}" for i in range(4)]
+    assert ht.extract(sources[:2]) == ["part0", "part1"]  # on too few pages to tell
+    assert ht.extract(sources[:2], tells=True)[0].startswith("Home")  # the host has more pages
+
+
 def test_main_text(spark, sf):
     df = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r.page_id: r for r in ht.main_text(df, shard_pages=3).collect()}
