@@ -138,6 +138,24 @@ def test_main_text(spark, sf):
         assert (got[r.page_id].text, got[r.page_id].n_chars, got[r.page_id].url) == (want, len(want), r.url)
 
 
+def test_shards_do_not_show(spark):
+    r = random.Random(5)
+    notice = [f"notice {k} is on a few pages of this host alone" for k in range(4)]
+    rows = []
+    for i in range(90):
+        own = " ".join(f"w{r.randrange(10**6)}" for _ in range(8))
+        extra = f"<div>{notice[i % 4]}</div>" if i % 15 < 4 else ""
+        closed = f"<footer>{notice[0]}</footer>" if i % 30 == 20 else ""
+        article = f"<article>in {own}</article>" if i % 3 == 0 else ""
+        rows.append((i if i % 10 else None, f"http://{'one' if i < 80 else 'two'}.org/{i}", f"<body>{extra}<p>{own}</p>{article}{closed}</body>"))
+    rows += [(5, "http://one.org/other", rows[5][2]), (7, "http://one.org/again", "<p>seen by one page that has many urls</p>"), *[(7, f"http://one.org/{k}", "<p>seen by one page that has many urls</p>") for k in range(5)]]
+    df = pages(spark, rows)
+    whole = sorted((str(x.page_id), x.url, x.text) for x in ht.main_text(df, shard_pages=1000).collect())
+    assert sum("notice" in x[2] for x in whole) < 5 and sum("seen by" in x[2] for x in whole) == 6
+    for n in (40, 4):
+        assert sorted((str(x.page_id), x.url, x.text) for x in ht.main_text(df, shard_pages=n).collect()) == whole
+
+
 def test_html_awkward_tables(spark):
     df = pages(spark, [(1, None, None), (1, "http://a.b/", "<p>x"), (None, "u", "<p>y")]).withColumn("host", F.lit(1)).withColumn("salt", F.lit("x"))
     assert sorted(r.text for r in ht.main_text(df).collect()) == ["", "x", "y"]
