@@ -6,6 +6,11 @@ trust along links from hosts with allowed pages, and the same walk on the
 reversed graph spreads distrust to hosts that link to blocked ones.  A host
 whose share of distrust exceeds the threshold is blocked.
 
+After k rounds at damping d, ranks lack at most d ** (k + 1) of the seeds' sum,
+and nothing has come further than k links.  The default is the fixed number of
+rounds of the SQL; with a ``tolerance`` rounds go on until what ranks may lack is
+at most that part of the seeds' sum.
+
 Defined results: a url that is null or has no ``://`` has an empty host and
 path, fits no rule and is allowed; null html has no links; repeated pages count
 as often as they occur; ties between trust and distrust allow.
@@ -57,13 +62,29 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return found.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """host, rank by ``rounds`` steps of personalised PageRank; edges: src, dst, share (of src's links)."""
+def lacking(damping: float, rounds: int) -> float:
+    """The part of the seeds' sum that ranks may lack after so many rounds."""
+    return damping ** (rounds + 1)
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float | None = None) -> DataFrame:
+    """host, rank by steps of personalised PageRank, ``rounds`` or as ``tolerance`` asks for; edges: src, dst, share (of src's links)."""
     start = seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))
     rank = start
+    if tolerance is not None:
+        rounds = 0
+        while lacking(damping, rounds) > tolerance:
+            rounds += 1
+        sum_of = seeds.agg(F.sum("seed")).first()[0] or 0.0
     for _ in range(rounds):
+        last = rank
         sent = edges.join(rank, edges["src"] == rank["host"]).groupBy("dst").agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("rank"))
         rank = scratch.table(start.union(sent.select(F.col("dst").alias("host"), "rank")).groupBy("host").agg(F.sum("rank").alias("rank")))
+        if tolerance is not None:
+            # ranks only grow, and each round's growth is at most damping times the last one's
+            grown = (rank.agg(F.sum("rank")).first()[0] or 0.0) - (last.agg(F.sum("rank")).first()[0] or 0.0)
+            if grown * damping <= tolerance * (1 - damping) * sum_of:
+                break
     return rank
 
 
@@ -76,6 +97,7 @@ def judge(
     rules: Sequence[tuple[str, str, str]] = RULES,
     damping: float = DAMPING,
     rounds: int = ROUNDS,
+    tolerance: float | None = None,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """id, host, path, rule, verdict, distrust (the host's share) of every page."""
@@ -94,8 +116,8 @@ def judge(
         into = edges.groupBy("dst").agg(F.sum("n").alias("of"))
         forward = scratch.table(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("of")).alias("share")))
         back = scratch.table(edges.join(into, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("of")).alias("share")))
-        trust = propagate(forward, seeds.select("host", F.col("good").alias("seed")), damping=damping, rounds=rounds).withColumnRenamed("rank", "trust")
-        distrust = propagate(back, seeds.select("host", F.col("bad").alias("seed")), damping=damping, rounds=rounds).withColumnRenamed("rank", "distrust")
+        trust = propagate(forward, seeds.select("host", F.col("good").alias("seed")), damping=damping, rounds=rounds, tolerance=tolerance).withColumnRenamed("rank", "trust")
+        distrust = propagate(back, seeds.select("host", F.col("bad").alias("seed")), damping=damping, rounds=rounds, tolerance=tolerance).withColumnRenamed("rank", "distrust")
         ranks = trust.join(distrust, "host", "full")
     t, d = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     hosts = scratch.table(ranks.select(F.col("host").alias("_host"), F.when(t + d > 0, d / (t + d)).otherwise(F.lit(0.0)).alias("share")))

@@ -70,6 +70,23 @@ def test_propagation(spark):
         assert got[h] == pytest.approx(d / (t + d) if t + d else 0)
 
 
+def test_propagation_to_a_tolerance(spark):
+    edges = spark.createDataFrame([(f"h{i}", f"h{(i + 1) % 20}", 1.0) for i in range(20)], "src string, dst string, share double")
+    seeds = spark.createDataFrame([("h0", 3.0), ("h5", 1.0), ("far", 0.0)], "host string, seed double")
+    want = pagerank({(f"h{i}", f"h{(i + 1) % 20}"): 1.0 for i in range(20)}, {"h0": 3.0, "h5": 1.0}, uf.DAMPING, 400)
+
+    def off(**options):
+        got = {x.host: x.rank for x in uf.propagate(edges, seeds, **options).collect()}
+        return sum(abs(want[h] - got.get(h, 0)) for h in want), got
+
+    lost, few = off()
+    assert lost == pytest.approx(4 * uf.lacking(uf.DAMPING, uf.ROUNDS)) and "h15" not in few  # the bound of the fixed rounds is met here
+    lost, all_ = off(tolerance=0.05)
+    assert lost <= 4 * 0.05 and all_["h15"] > 0
+    ended = uf.propagate(edges.where("src = 'h0'"), seeds, tolerance=1e-30)  # stops once nothing moves
+    assert {x.host: x.rank for x in ended.collect()} == pytest.approx({"h0": 0.45, "h1": 0.3825, "h5": 0.15, "far": 0.0})
+
+
 def test_url_awkward_tables(spark):
     df = pages(spark, [(1, "http://a.org/es/", None), (1, "http://a.org/es/", None), (None, None, None)]).withColumn("host", F.lit(1)).withColumn("rule", F.lit("x"))
     assert sorted((str(x.page_id), x.verdict) for x in uf.judge(df).collect()) == [("1", "block"), ("1", "block"), ("None", "allow")]
