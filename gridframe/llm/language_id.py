@@ -1,13 +1,15 @@
 """Language identification with bit-sliced Bloom filters of byte n-grams.
 
 One table serves all languages: slot s holds a bit mask of the languages that
-set it.  The AND of an n-gram's slots is the mask of all languages that contain
+set it, in as many words as 64 bits each take.  The AND of an n-gram's slots is the mask of all languages that contain
 it.  Per text and language the set bits are counted, corrected for the rate at
 which the filter answers falsely, and the highest count decides.
 
 Learning takes a bounded sample: of each language the ``train_docs`` documents
-of least id hash, out of those whose fold allows it, and at most 64 languages
-(the most frequent).  Scoring covers every whole text.
+of least id hash, out of those whose fold allows it.  Every labelled language is
+learned; what is collected grows with their number.  N-grams seen once in the
+sample are left out, but not where it has no more than two documents.  Scoring
+covers every whole text.
 
 Defined results: null text or text without a letter is ``und`` with score 0;
 a text whose n-grams no filter knows gets the most frequent language, score 0;
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from . import text as tx
 
-TRAIN_DOCS, LANGUAGES, NGRAM, SLOT_BITS, HASHES, LEAST = 400, 64, 5, 20, 3, 2
+TRAIN_DOCS, WORD, NGRAM, SLOT_BITS, HASHES, LEAST = 400, 64, 5, 20, 3, 2
 CHUNK_BYTES = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII = np.zeros(256, np.int64)
@@ -69,33 +71,34 @@ class Model:
     """Languages in order of frequency, the sliced filter and its false rates."""
 
     def __init__(self, samples: dict[str, list[str]], ngram: int = NGRAM):
-        self.names = sorted(samples, key=lambda k: (-len(samples[k]), k))[:LANGUAGES]
+        self.names = sorted(samples, key=lambda k: (-len(samples[k]), k))
         self.ngram = ngram
-        bits = 8 if len(self.names) <= 8 else 64
-        kind = np.uint8 if bits == 8 else np.uint64
-        self.table = np.zeros(1 << SLOT_BITS, kind)
+        kind = np.uint8 if len(self.names) <= 8 else np.uint64
+        self.tables = [np.zeros(1 << SLOT_BITS, kind) for _ in range(0, len(self.names), WORD)]
         for i, name in enumerate(self.names):
             raws = [t.encode() for t in samples[name]]
             raw = np.frombuffer(b"".join(raws), np.uint8)
             offs = np.concatenate([[0], np.cumsum([len(r) for r in raws])]).astype(np.int64)
             values, counts = np.unique(_grams(raw, offs, ngram)[0], return_counts=True)
-            for s in _slots(values[counts >= LEAST]):
-                self.table[s] |= kind(1 << i)
-        load = np.array([np.mean((self.table >> kind(i)) & kind(1)) for i in range(len(self.names))])
+            for s in _slots(values[counts >= (LEAST if len(raws) > LEAST else 1)]):
+                self.tables[i // WORD][s] |= kind(1 << i % WORD)
+        load = np.array([np.mean((self.tables[i // WORD] >> kind(i % WORD)) & kind(1)) for i in range(len(self.names))])
         self.false = load**HASHES
 
     def score(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the language, its share of the corrected counts, part of the n-grams it knows) of each text."""
         n = len(offs) - 1
         h, doc = _grams(raw, offs, self.ngram)
-        mask = np.full(len(h), ~self.table.dtype.type(0), self.table.dtype)
-        for s in _slots(h):
-            mask &= self.table[s]
         total = np.bincount(doc, minlength=n).astype(float)
         edge = np.searchsorted(doc, np.arange(n + 1))
         right = np.zeros((n, len(self.names)))
         for i in range(len(self.names)):
-            hits = np.concatenate([[0], np.cumsum((mask >> mask.dtype.type(i)) & mask.dtype.type(1), dtype=np.int64)])
+            if i % WORD == 0:
+                table = self.tables[i // WORD]
+                mask = np.full(len(h), ~table.dtype.type(0), table.dtype)
+                for s in _slots(h):
+                    mask &= table[s]
+            hits = np.concatenate([[0], np.cumsum((mask >> mask.dtype.type(i % WORD)) & mask.dtype.type(1), dtype=np.int64)])
             got = (hits[edge[1:]] - hits[edge[:-1]]).astype(float)
             right[:, i] = np.maximum(got - total * self.false[i], 0) / (1 - self.false[i])
         best = right.argmax(1)
@@ -114,14 +117,13 @@ def learn(docs: DataFrame, allowed: Column, *, id_col: str = "doc_id", text_col:
     rows = docs.where(allowed & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"))
     order = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
     picked = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= train_docs)
-    names = [r.l for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()]
-    ids = [r.i for r in picked.where(F.col("l").isin(names)).select("i").distinct().collect()]  # at most LANGUAGES x train_docs
+    ids = [r.i for r in picked.select("i").distinct().collect()]  # at most train_docs for each language
     chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], f"_i {docs.select(id_col).schema[0].dataType.simpleString()}")
     got = docs.where(allowed & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
     samples: dict[str, list[str]] = {}
     for r in got.join(F.broadcast(chosen), F.col("i") == F.col("_i"), "left_semi").orderBy("i", "t").collect():
         samples.setdefault(r.l, []).append(r.t or "")
-    return Model({k: v for k, v in samples.items() if k in names})
+    return Model(samples)
 
 
 def _run(model: Model):

@@ -41,6 +41,17 @@ def test_language_awkward_rows(docs_of):
     assert {r.lang_pred for r in nothing} == {"und"}
 
 
+def test_every_labelled_language_is_learned(docs_of):
+    names = [f"l{k:03}" for k in range(130)]
+    texts = ["".join(chr(97 + (7 * k + j * (k + 3)) % 26) for j in range(40)) + f" {chr(97 + k % 26) * 5}{chr(97 + k // 26) * 6}" for k in range(130)]
+    model = language_id.learn(docs_of(texts, langs=names), F.lit(True))
+    assert sorted(model.names) == names and len(model.tables) == 3
+    raws = [t.encode() for t in texts]
+    best, _, known = model.score(np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)]))
+    assert [model.names[b] for b in best] == names
+    assert known.min() > 0.9  # a language of one document is learned as well
+
+
 def test_bloom_answers_all_languages():
     model = language_id.Model({"a": ["shared words only a"] * 3, "b": ["shared words only b"] * 3})
     raw = np.frombuffer(b"shared words", np.uint8)
