@@ -413,8 +413,8 @@ def _across(tiles: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, n:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def group_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """id, n_shingles and component_id (least id of the component) of every document."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """id, n (shingles), least (id of the component) and cls of every document."""
     spark = docs.sparkSession
     scratch.small_batches(spark)
     n = scratch.partitions(spark)
@@ -444,23 +444,40 @@ def group_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     named = who.where("n > 0").join(comp, F.col("cls") == F.col("v"), "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = named.groupBy("comp").agg(F.min("id").alias("least"))
-    out = named.join(least, "comp").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
-    alone = who.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    return out.union(alone)
+    out = named.join(least, "comp").select("id", "n", "least", "cls")
+    return out.union(who.where("n = 0").select("id", "n", F.col("id").alias("least"), "cls"))
+
+
+def group_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """id, n_shingles and component_id (least id of the component) of every document."""
+    found = _grouped(docs, id_col, text_col, shingle, percent)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the document of least id.
 
-    Repeated rows of one id and text are kept once; rows without an id are
-    kept, once for each text.
+    Rows of one id are told apart by the classes of their texts: only those go
+    whose own component has a lesser id.  Repeated rows of one id and text are
+    kept once; rows without an id are kept, once for each text.
     """
-    found = scratch.table(group_near_copies(docs, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("_gf_id"), "component_id"))
-    copies = scratch.table(found.where("_gf_id <> component_id").select("_gf_id").distinct())
+    found = scratch.table(_grouped(docs, id_col, text_col, shingle, percent).select(F.col("id").alias("_gf_id"), F.col("least").alias("_gf_least"), F.col("cls").alias("_gf_cls")))
+    gone = found.where("_gf_id <> _gf_least")
+    kept = found.where("_gf_id is null or _gf_id = _gf_least")
+    copies = scratch.table(gone.select("_gf_id").distinct())
     side = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
     left = docs.join(side, docs[id_col] == copies["_gf_id"], "left_anti")
-    kept = found.where("_gf_id is null or _gf_id = component_id")
-    if kept.count() > kept.where("_gf_id is not null").distinct().count():  # repeated ids, or none
+    mixed = scratch.table(kept.select("_gf_id").join(side, "_gf_id", "left_semi").distinct())  # ids with rows of both kinds
+    n = mixed.count()
+    if n:
+        side = F.broadcast(mixed) if n <= BROADCAST_IDS else mixed
+        rows = docs.join(side, docs[id_col] == mixed["_gf_id"], "left_semi").withColumn("_gf_text", F.coalesce(F.col(text_col), F.lit("")))
+        classes = rows.select("_gf_text").distinct().mapInArrow(_namer(shingle), "cls long, text string").select(F.col("cls").alias("_gf_cls"), F.col("text").alias("_gf_text"))
+        rows = rows.join(scratch.table(classes), "_gf_text")
+        dropped = gone.join(side, "_gf_id", "left_semi").select("_gf_id", F.col("_gf_cls").alias("_gf_of")).distinct()
+        rows = rows.join(dropped, (F.col(id_col) == F.col("_gf_id")) & (F.col("_gf_cls") == F.col("_gf_of")), "left_anti")
+        left = left.union(rows.select(*docs.columns))
+    if kept.count() > kept.where("_gf_id is not null").select("_gf_id").distinct().count():  # repeated ids, or none
         left = left.withColumn("_gf_text", F.xxhash64(text_col)).dropDuplicates([id_col, "_gf_text"]).drop("_gf_text")
     return left
 

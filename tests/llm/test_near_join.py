@@ -117,3 +117,12 @@ def test_keep_one(docs_of):
     docs = docs_of([t, t + " z", "other words", None, "other words"], ids=[4, 2, 7, 8, 7]).withColumn("i", F.lit(2)).withColumn("component_id", F.lit("x"))
     got = near_join.keep_one(docs)
     assert sorted(r.doc_id for r in got.collect()) == [2, 7, 8] and got.columns == docs.columns
+
+
+def test_keep_one_tells_rows_of_one_id_apart(docs_of):
+    t = " ".join(f"w{i}" for i in range(50))
+    texts = [t, t + " z", "a text of its own", "a text of its own", None, "other words", t]
+    docs = docs_of(texts, ids=[2, 4, 4, 4, 4, 7, 7]).withColumn("cls", F.lit("x"))
+    got = near_join.keep_one(docs)
+    assert sorted((r.doc_id, r.text) for r in got.where("text is not null").collect()) == [(2, t), (4, "a text of its own"), (7, "other words")]
+    assert got.where("text is null").count() == 1 and got.columns == docs.columns
