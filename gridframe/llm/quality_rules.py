@@ -2,10 +2,13 @@
 
 Document measures are counted over the whole text.  A document fails when its
 base rule fails (too few words, or too many repeated ones) or when symbols or
-repeated lines prevail.  Failures are summed per host (the source column),
-a beta prior is fitted to the hosts' rates by the method of moments, each
-host's rate is shrunk towards it, and hosts above a limit take all their
-documents with them.
+repeated lines prevail.  Failures of each rule are summed per host (the source
+column).  For each rule a beta prior is fitted by moments: hosts weigh by their
+documents, and the sampling error of their rates is taken off the variance
+between them.  Each host's rates are shrunk towards the priors, and a host that
+exceeds the limit of any rule takes all its documents with it.  The limit
+follows from the prior: ``DEVIATIONS`` of its standard deviations above its
+mean and at least twice the mean, but never above ``HOST_LIMIT``.
 
 Defined results: null text counts as empty; null hosts form one host; an empty
 table gives an empty table; repeated rows count as often as they occur.
@@ -13,17 +16,19 @@ table gives an empty table; repeated rows count as often as they occur.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
 from . import text as tx
 
 MIN_WORDS, REPEAT_PERCENT, SYMBOL_PERCENT, LINE_PERCENT, HOST_LIMIT = 50, 50, 10, 50, 0.8
+DEVIATIONS, STRENGTH = 3.0, (10.0, 1e4)  # least and greatest weight of a prior, in documents
 CHUNK_BYTES = 1 << 20
 _SYMBOLS = np.zeros(256, np.int64)
 _SYMBOLS[list(b"#*$%&|<>")] = 1
@@ -92,25 +97,50 @@ def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return thin.mapInArrow(_run, ", ".join([*kinds, *[f"{m} long" for m in MEASURES]]))
 
 
-def host_verdicts(failing: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """(host, failed) rows to host, n_docs, n_failed, rate (shrunk), host_ok."""
-    per = failing.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
-    per = per.withColumn("_r", F.col("n_failed") / F.col("n_docs"))
-    prior = per.agg((F.sum("n_failed") / F.sum("n_docs")).alias("m"), F.var_pop("_r").alias("v")).first()
-    m, v = prior.m or 0.0, prior.v or 0.0
-    strength = min(max(m * (1 - m) / v - 1 if v > 0 else 1e4, 1.0), 1e4)
-    rate = (F.col("n_failed") + F.lit(m * strength)) / (F.col("n_docs") + F.lit(strength))
-    return per.withColumn("rate", rate).withColumn("host_ok", F.col("rate") <= F.lit(limit)).select("host", "n_docs", "n_failed", "rate", "host_ok")
+def rules() -> dict[str, Column]:
+    """Each rule's condition of failure, over the measures."""
+    return {
+        "few": F.col("n_words") < MIN_WORDS,
+        "repeats": 100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"),
+        "symbols": 100 * F.col("n_symbols") > SYMBOL_PERCENT * F.col("word_chars"),
+        "lines": 100 * F.col("n_dup_lines") > LINE_PERCENT * F.col("n_lines"),
+    }
+
+
+def prior(hosts: int, docs: int, mean: float, spread: float, limit: float = HOST_LIMIT) -> tuple[float, float]:
+    """(strength, limit) of the prior of a rule that fails ``mean`` of ``docs``; ``spread``: weighted variance of the hosts' rates."""
+    within = mean * (1 - mean)
+    between = spread - within * hosts / docs
+    strength = min(max(within / between - 1 if between > 0 else STRENGTH[1], STRENGTH[0]), STRENGTH[1])
+    return strength, min(max(mean + DEVIATIONS * math.sqrt(within / (strength + 1)), 2 * mean), limit)
+
+
+def host_verdicts(failing: DataFrame, names: Sequence[str], limit: float = HOST_LIMIT) -> DataFrame:
+    """(host, a condition for each rule) rows to host, n_docs, rate (the greatest shrunk one), host_ok.
+
+    Only each rule's mean and variance come to the driver.
+    """
+    per = scratch.table(failing.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *[F.sum(F.col(r).cast("long")).alias(r) for r in names]))
+    total = per.agg(F.count(F.lit(1)).alias("hosts"), F.sum("n_docs").alias("docs"), *[F.sum(r).alias(r) for r in names]).first()
+    mean = {r: total[r] / total.docs if total.docs else 0.0 for r in names}
+    off = {r: F.col(r) / F.col("n_docs") - F.lit(mean[r]) for r in names}
+    spread = per.agg(*[(F.sum(F.col("n_docs") * off[r] * off[r])).alias(r) for r in names]).first()
+    rates, ok = [], F.lit(True)
+    for r in names:
+        strength, most = prior(total.hosts, total.docs, mean[r], spread[r] / total.docs, limit) if total.docs else (STRENGTH[0], limit)
+        rates.append((F.col(r) + F.lit(mean[r] * strength)) / (F.col("n_docs") + F.lit(strength)))
+        ok &= rates[-1] <= F.lit(most)
+    return per.select("host", "n_docs", F.greatest(*rates).alias("rate"), ok.alias("host_ok"))
 
 
 def apply_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
     """id, the measures, base_failed, failed, rate (of the host) and kept."""
     m = scratch.table(measures(docs, id_col=id_col, text_col=text_col, host_col=host_col))
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    more = (100 * F.col("n_symbols") > SYMBOL_PERCENT * F.col("word_chars")) | (100 * F.col("n_dup_lines") > LINE_PERCENT * F.col("n_lines"))
-    m = m.withColumn("base_failed", base).withColumn("failed", base | more)
-    hosts = scratch.table(host_verdicts(m.select("host", "failed"), host_limit)).withColumnRenamed("host", "_host")
+    each = rules()
+    hosts = scratch.table(host_verdicts(m.select("host", *[c.alias(r) for r, c in each.items()]), list(each), host_limit)).withColumnRenamed("host", "_host")
     side = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
+    base = each["few"] | each["repeats"]
+    m = m.withColumn("base_failed", base).withColumn("failed", base | each["symbols"] | each["lines"])
     m = m.join(side, m["host"].eqNullSafe(hosts["_host"]), "left")
     return m.select(F.col("id").alias(id_col), *MEASURES, "base_failed", "failed", "rate", (~F.col("base_failed") & F.col("host_ok")).alias("kept"))
 
@@ -128,12 +158,16 @@ m AS (SELECT d.r, doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(lengt
     CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
     coalesce(n_lines, 0) AS n_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
     FROM d JOIN w ON w.r = d.r LEFT JOIN lc ON lc.r = d.r LEFT JOIN rp ON rp.r = d.r),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-f AS (SELECT *, base_failed OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 50 * n_lines AS failed FROM b),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE failed) AS k FROM f GROUP BY source),
-p AS (SELECT sum(k) / sum(n) AS m, var_pop(k / n) AS v FROM h),
-q AS (SELECT m, least(greatest(CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1e4 END, 1.0), 1e4) AS c FROM p),
-hv AS (SELECT source, (k + m * c) / (n + c) <= 0.8 AS ok FROM h, q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND ok) AS kept
+f AS (SELECT *, n_words < 50 AS few, 100 * n_repeat_words > 50 * n_words AS repeats, 100 * n_symbols > 10 * word_chars AS symbols, 100 * n_dup_lines > 50 * n_lines AS lines FROM m),
+h AS (SELECT source, rule, count(*) AS n, count(*) FILTER (WHERE failed) AS k FROM (
+    SELECT source, 'few' AS rule, few AS failed FROM f UNION ALL SELECT source, 'repeats', repeats FROM f
+    UNION ALL SELECT source, 'symbols', symbols FROM f UNION ALL SELECT source, 'lines', lines FROM f) GROUP BY source, rule),
+m1 AS (SELECT rule, count(*) AS hosts, sum(n) AS docs, sum(k) / sum(n) AS mean FROM h GROUP BY rule),
+m2 AS (SELECT rule, mean, mean * (1 - mean) AS inside, sum(n * (k / n - mean) * (k / n - mean)) / any_value(docs) - mean * (1 - mean) * any_value(hosts) / any_value(docs) AS outside
+    FROM h JOIN m1 USING (rule) GROUP BY rule, mean),
+m3 AS (SELECT rule, mean, inside, least(greatest(CASE WHEN outside > 0 THEN inside / outside - 1 ELSE 1e4 END, 10.0), 1e4) AS strength FROM m2),
+m4 AS (SELECT rule, mean, strength, least(greatest(mean + 3 * sqrt(inside / (strength + 1)), 2 * mean), 0.8) AS most FROM m3),
+hv AS (SELECT source, bool_and((k + mean * strength) / (n + strength) <= most) AS ok FROM h JOIN m4 USING (rule) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few OR repeats AS base_failed, (NOT (few OR repeats) AND ok) AS kept
 FROM f JOIN hv ON f.source IS NOT DISTINCT FROM hv.source
 """

@@ -41,6 +41,29 @@ def test_hosts(docs_of):
     assert all(g.kept for g in lone[:40]) and lone[40].rate < 1  # one failure does not condemn a host
 
 
+def test_host_limits_follow_from_the_priors(docs_of):
+    """Verdicts against the formulas worked out host by host: one host stands out in one rule."""
+    symbols = " ".join(["*#$%"] * 30 + [f"w{j}" for j in range(30)])
+    texts, hosts = [], []
+    for h in range(12):
+        for i in range(60):
+            texts.append(symbols + f" {h} {i}" if i < (24 if h == 5 else 3 + h % 2) else good(100 * h + i))
+            hosts.append(f"h{h}")
+    got = qr.apply_rules(docs_of(texts, hosts)).orderBy("doc_id").collect()
+    assert {hosts[g.doc_id] for g in got if not g.kept} == {"h5"}
+    assert not any(g.base_failed for g in got)
+    k = [24 if h == 5 else 3 + h % 2 for h in range(12)]
+    mean = sum(k) / 720
+    spread = sum((x / 60 - mean) ** 2 for x in k) / 12
+    within = mean * (1 - mean)
+    strength = max(within / (spread - within * 12 / 720) - 1, 10.0)
+    most = mean + 3 * (within / (strength + 1)) ** 0.5
+    assert qr.prior(12, 720, mean, spread) == (strength, most)
+    assert [(x + mean * strength) / (60 + strength) > most for x in k] == [h == 5 for h in range(12)]
+    even = qr.apply_rules(docs_of([t for t, h in zip(texts, hosts) if h != "h5"], [h for h in hosts if h != "h5"]))
+    assert even.where("not kept").count() == 0  # hosts that differ by chance alone
+
+
 def test_awkward_tables(docs_of):
     docs = docs_of([good(0), good(0), None], [None, None, "s"], ids=[1, 1, None]).withColumn("host", F.lit(1)).withColumn("n_words", F.lit("clash"))
     got = qr.apply_rules(docs).collect()
