@@ -1,15 +1,26 @@
 """Mixing sources to target weights by Pareto order sampling (native).
 
 Every document of a source is due ``target / source size`` copies.  The whole
-part is certain; the rest is an inclusion probability p, and the documents of a
-source are ranked by the Pareto variable ``(u / (1 - u)) / (p / (1 - p))`` with
-u hashed from the id.  The sample is the first documents in that order whose
-words fit what is left of the target.  Up to ``CORRECTIONS`` documents are then
-exchanged, each the one that brings the words taken nearest to the target.
-
-Defined results: null text has size 0 and is never taken; null sources form one
-source, last in order; rows of one id share their fate (they tie in the order);
-a source without words has target 0; an empty table gives an empty table.
+part is certain.  For the rest the source is cut into strata of documents of
+nearly equal size (within an eighth), and each stratum gives a sample of fixed
+size n with inclusion odds in proportion to size: document i is included with
+probability p = n * size / (words of the stratum), and the n documents of least
+``(u / (1 - u)) / (p / (1 - p))`` are taken, u being hashed from id and text.
+
+Sample sizes follow from the words due, from the longest documents down: what a
+stratum takes beyond or below its due, as a whole number of documents must, is
+carried to the next one of shorter documents, and a stratum's last document is
+drawn by a hashed number, so that long documents have their chance.  The strata
+of the shortest documents, with up to a quarter of the source's words, are
+planned last, when the words that the longer ones really took are known.  So the
+words taken miss the target by little more than a short document.
+
+Defined results: a document without words (null or empty text) is never taken;
+null sources form one source, last in order; rows of equal id and text tie, and
+of a tie at the cut as many rows are taken as the sample still needs, by a hash
+of the kept columns; a source without words has target 0; an empty table gives
+an empty table.  Kept columns that are named like a column of the result get the
+prefix ``doc_`` (as often as it takes).
 """
 
 from __future__ import annotations
@@ -21,10 +32,12 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-SHARE, CAP, WEIGHTS, SEED, BUCKETS = 1.5, 2.0, (3.0, 1.0, 2.0), "mix-1", 4096
-CORRECTIONS = 3
-#: sources up to which per-source figures are broadcast; shuffled joins beyond
-BROADCAST_SOURCES = 20_000
+SHARE, CAP, WEIGHTS, SEED, SLICES = 1.5, 2.0, (3.0, 1.0, 2.0), "mix-1", 1024
+#: part of a source's words, in its shortest documents, that is planned last
+LAST = 4  # one in LAST
+#: strata (sources times classes of size) up to which figures are broadcast; shuffled joins beyond
+BROADCAST_STRATA = 50_000
+RESULT = ("size", "source_size", "target", "copies", "taken")
 
 
 def word_count(text: Column) -> Column:
@@ -37,6 +50,12 @@ def _u(key: Column, seed: str) -> Column:
     return (h + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def _class(size: Column) -> Column:
+    """Class of sizes: eight to each power of two, so exact up to 16; null for 0."""
+    power = F.length(F.bin(size)) - 1
+    return F.when(size > 0, power * 8 + F.call_function("shiftright", size * 8, power) - 8).cast("int")
+
+
 def targets(sizes: DataFrame, share: float, cap: float, weights: Sequence[float]) -> DataFrame:
     """(src, source_size) to (.., target): weights in cycle, shares capped, excess reshared.
 
@@ -60,6 +79,32 @@ def targets(sizes: DataFrame, share: float, cap: float, weights: Sequence[float]
     return filled.withColumn("target", F.least("_cap", F.coalesce(level * F.col("_w"), F.col("_cap")))).select("_src", "source_size", "target")
 
 
+def _sample_sizes(strata: DataFrame, carry: Column) -> DataFrame:
+    """(_src, _cls, _n): documents to take of each stratum (_src, _cls, _docs, _words, _due, _v), long documents first.
+
+    A source has at most eight strata to a power of two of its greatest size.
+    """
+    stratum = F.struct("_cls", "_docs", "_words", "_due", "_v")
+    start = F.struct(F.col("_carry").alias("carry"), F.array().cast("array<struct<_cls:int,_n:bigint>>").alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        mean = x["_words"] / x["_docs"]
+        due = x["_due"] + state["carry"]
+        n = F.least(F.greatest(F.floor(due / mean + x["_v"]), F.lit(0)), x["_docs"]).cast("bigint")
+        return F.struct((due - n * mean).alias("carry"), F.concat(state["out"], F.array(F.struct(x["_cls"].alias("_cls"), n.alias("_n")))).alias("out"))
+
+    listed = strata.groupBy("_src").agg(F.sort_array(F.collect_list(stratum), False).alias("all"), F.first(carry).alias("_carry"))
+    return listed.select("_src", F.inline(F.aggregate("all", start, step, lambda state: state["out"])))
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """With the ranking variable _k in [0, 1), 0 for certain documents, and its slice."""
+    p = F.col("_n") * F.col("_size") / F.col("_words")
+    q = (F.col("_u") / (1 - F.col("_u"))) / (p / (1 - p))
+    k = F.when(p >= 1, F.lit(0.0)).otherwise(q / (1 + q))
+    return rows.withColumn("_k", k).withColumn("_slice", F.floor(F.col("_k") * SLICES))
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -70,117 +115,124 @@ def mix(
     cap: float = CAP,
     weights: Sequence[float] = WEIGHTS,
     seed: str = SEED,
-    buckets: int = BUCKETS,
-    corrections: int = CORRECTIONS,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per document: id, size, source_size, target, copies, taken, then ``keep``.
 
-    The ranking is cut without sorting a source in one task: words are summed
-    by slice of the ranking variable, and only the slice in which the target
-    is reached is ordered row by row.
+    No stratum is sorted in one task: documents are counted by slice of the
+    ranking variable, and only the slice that holds the last one is ordered.
     """
-    spark = docs.sparkSession
-    thin = scratch.table(
-        docs.select(
-            F.col(source_col).alias("_src"),
-            word_count(F.col(text_col)).alias("_size"),
-            _u(F.coalesce(F.col(id_col).cast("string"), F.lit("")), seed).alias("_u"),
-        )
-    )
-    sizes = thin.groupBy("_src").agg(F.sum("_size").alias("source_size"))
-    plan = scratch.table(targets(sizes, share, cap, weights))
-    small = plan.count() <= BROADCAST_SOURCES
-
-    def beside(left: DataFrame, right: DataFrame) -> DataFrame:
-        right = right.withColumnRenamed("_src", "_rsrc")
-        return left.join(F.broadcast(right) if small else right, left["_src"].eqNullSafe(right["_rsrc"]), "left").drop("_rsrc")
-
-    def scored(df: DataFrame) -> DataFrame:
-        ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-        df = df.withColumn("_whole", F.floor(ratio)).withColumn("_p", ratio - F.floor(ratio))
-        q = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))
-        df = df.withColumn("_k", F.when(F.col("_p") > 0, q / (1 + q)))
-        return df.withColumn("_left", F.col("target") - F.col("_whole") * F.col("source_size")).withColumn("_slice", F.floor(F.col("_k") * buckets))
-
-    drawn = scored(beside(thin, plan)).filter(F.col("_k").isNotNull())
-    per_slice = drawn.groupBy("_src", "_slice").agg(F.sum("_size").alias("_words"), F.first("_left").alias("_left"))
-    cum = F.sum("_words").over(Window.partitionBy("_src").orderBy("_slice"))
-    edge = scratch.table(
-        per_slice.withColumn("_cum", cum)
-        .groupBy("_src")
-        .agg(
-            F.min(F.when(F.col("_cum") > F.col("_left"), F.col("_slice"))).alias("_edge"),
-            F.coalesce(F.max(F.when(F.col("_cum") <= F.col("_left"), F.col("_cum"))), F.lit(0)).alias("_used"),
-        )
-    )
-    at_edge = beside(drawn, edge).filter(F.col("_slice") == F.col("_edge"))
-    run = F.col("_used") + F.sum("_size").over(Window.partitionBy("_src").orderBy("_k"))
-    cut = at_edge.withColumn("_run", run).groupBy("_src").agg(
-        F.max(F.when(F.col("_run") <= F.col("_left"), F.col("_k"))).alias("_cut"),
-        F.max(F.when(F.col("_run") <= F.col("_left"), F.col("_run"))).alias("_run"),
-    )
-    edge = scratch.table(beside(edge, cut).withColumn("_used", F.coalesce("_run", "_used")).drop("_run"))
-
-    in_order = F.coalesce(F.col("_edge").isNull() | (F.col("_slice") < F.col("_edge")) | ((F.col("_slice") == F.col("_edge")) & (F.col("_k") <= F.col("_cut"))), F.lit(False))
-    chosen = in_order
-    edge = scratch.table(beside(edge, drawn.groupBy("_src").agg(F.first("_left").alias("_left"))).withColumn("_gap", F.col("_left") - F.col("_used")).drop("_left"))
-    for i in range(corrections):
-        gap = F.col("_gap")
-        off = F.abs(F.col("_size") - F.abs(gap))
-        open_ = beside(drawn.drop("_left"), edge).filter(((gap > 0) & ~chosen) | ((gap < 0) & chosen)).withColumn("_off", off).filter(F.col("_off") < F.abs(gap))
-        pick = open_.groupBy("_src").agg(F.min(F.struct("_off", "_k", "_size")).alias("_pick"))
-        edge = beside(edge, pick).withColumn(f"_flip{i}", F.col("_pick._k")).withColumn("_gap", gap - F.signum(gap) * F.coalesce(F.col("_pick._size"), F.lit(0))).drop("_pick")
-        edge = scratch.table(edge)
-        chosen = chosen != F.coalesce(F.col("_k") == F.col(f"_flip{i}"), F.lit(False))
-
-    full = docs.select(
-        F.col(id_col).alias(id_col),
-        F.col(source_col).alias("_src"),
-        word_count(F.col(text_col)).alias("size"),
-        _u(F.coalesce(F.col(id_col).cast("string"), F.lit("")), seed).alias("_u"),
-        *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)],
-    )
-    full = beside(scored(beside(full, plan)), edge)
-    copies = (F.col("_whole") + (F.col("_k").isNotNull() & chosen).cast("long")).cast("long")
+    text, id_ = F.col(text_col).cast("string"), F.col(id_col).cast("string")
+    own = {
+        "_src": F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("t")),  # null last
+        "_size": word_count(text),
+        "_u": _u(F.concat(F.coalesce(id_, F.lit("")), F.lit(":"), F.coalesce(F.md5(text), F.lit(""))), seed),
+    }
+    thin = scratch.table(docs.select(*[c.alias(n) for n, c in own.items()]).withColumn("_cls", _class(F.col("_size"))))
+    counted = scratch.table(thin.groupBy("_src", "_cls").agg(F.count(F.lit(1)).alias("_docs"), F.sum("_size").alias("_words")))
+    plan = targets(counted.groupBy("_src").agg(F.sum("_words").alias("source_size")), share, cap, weights)
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    plan = plan.withColumn("_whole", F.floor(ratio)).withColumn("_p", ratio - F.floor(ratio))
+    short = F.sum("_words").over(Window.partitionBy("_src").orderBy("_cls"))
+    strata = counted.join(plan, "_src").withColumn("_late", F.col("_cls").isNotNull() & ((LAST * short <= F.col("source_size")) | (short == F.col("_words"))))
+    strata = strata.withColumn("_due", F.col("_p") * F.col("_words")).withColumn("_v", _u(F.concat("_src", F.lit(":"), F.col("_cls").cast("string")), seed))
+    strata = scratch.table(strata)
+    small = strata.count() <= BROADCAST_STRATA
+
+    def beside(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+        return left.join(F.broadcast(right) if small else right, on, how)
+
+    def cut(sizes: DataFrame) -> DataFrame:
+        """(.., _cut, _need, _tied, _least): the last ranking variable taken, rows to take of those that have it, their number and size."""
+        rows = _ranked(beside(thin, beside(sizes.where("_n > 0"), strata.select("_src", "_cls", "_words"), ["_src", "_cls"]), ["_src", "_cls"]))
+        by = Window.partitionBy("_src", "_cls")
+        slices = rows.groupBy("_src", "_cls", "_slice", "_n").agg(F.count(F.lit(1)).alias("_c"))
+        slices = slices.withColumn("_to", F.sum("_c").over(by.orderBy("_slice")))
+        edge = slices.where((F.col("_to") >= F.col("_n")) & (F.col("_to") - F.col("_c") < F.col("_n"))).select("_src", "_cls", "_slice", (F.col("_to") - F.col("_c")).alias("_before"))
+        ties = beside(rows, edge, ["_src", "_cls", "_slice"]).groupBy("_src", "_cls", "_n", "_before", "_k").agg(F.count(F.lit(1)).alias("_tied"), F.max("_size").alias("_least"))
+        ties = ties.withColumn("_to", F.col("_before") + F.sum("_tied").over(by.orderBy("_k")))
+        last = ties.where((F.col("_to") >= F.col("_n")) & (F.col("_to") - F.col("_tied") < F.col("_n")))
+        return scratch.table(last.select("_src", "_cls", "_n", F.col("_k").alias("_cut"), (F.col("_n") - F.col("_to") + F.col("_tied")).alias("_need"), "_tied", "_least"))
+
+    early = strata.where("_cls is not null and not _late")
+    first = cut(scratch.table(_sample_sizes(early, F.lit(0.0))))
+    chosen = _ranked(beside(thin, beside(first, strata.select("_src", "_cls", "_words"), ["_src", "_cls"]), ["_src", "_cls"]))
+    took = chosen.where("_k < _cut").groupBy("_src").agg(F.sum("_size").alias("_took")).union(first.groupBy("_src").agg(F.sum(F.col("_need") * F.col("_least"))))
+    took = took.groupBy("_src").agg(F.sum("_took").alias("_took"))
+    due = early.groupBy("_src").agg((F.first("_p") * F.sum("_words")).alias("_was"))
+    over = due.join(took, "_src", "left").select("_src", (F.col("_was") - F.coalesce("_took", F.lit(0))).alias("_over"))
+    late = strata.where("_late").join(over, "_src", "left")
+    second = cut(scratch.table(_sample_sizes(late, F.coalesce("_over", F.lit(0.0)))))
+    cuts = first.union(second)
+
+    named = {c: c for c in keep}
+    for c in keep:
+        while named[c] in {*RESULT, id_col} or list(named.values()).count(named[c]) > 1:
+            named[c] = "doc_" + named[c]
+    full = docs.select(F.col(id_col).alias("_id"), *[c.alias(n) for n, c in own.items()], *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)]).withColumn("_cls", _class(F.col("_size")))
+    full = full.withColumn("_at", F.coalesce("_cls", F.lit(-1))).drop("_cls")
+    beside_strata = strata.select("_src", F.coalesce("_cls", F.lit(-1)).alias("_at"), "_words", "source_size", "target", "_whole").join(cuts.withColumnRenamed("_cls", "_at"), ["_src", "_at"], "left")
+    full = _ranked(beside(full, scratch.table(beside_strata), ["_src", "_at"], "left"))
+    taken = F.coalesce(F.col("_k") <= F.col("_cut"), F.lit(False))
+    if not cuts.where("_need < _tied").isEmpty():
+        tie = F.coalesce((F.col("_k") == F.col("_cut")) & (F.col("_need") < F.col("_tied")), F.lit(False))
+        order = Window.partitionBy("_src", "_at").orderBy(F.xxhash64(*[c for c in full.columns if c.startswith("_keep_")], F.lit(0)))
+        full = full.where(~tie).withColumn("_nth", F.lit(None).cast("int")).union(full.where(tie).withColumn("_nth", F.row_number().over(order)))
+        taken &= F.col("_nth").isNull() | (F.col("_nth") <= F.col("_need"))
+    copies = F.when(F.col("_size") > 0, F.col("_whole") + taken.cast("long")).otherwise(F.lit(0)).cast("long")
     return full.select(
-        id_col,
-        "size",
+        F.col("_id").alias(id_col),
+        F.col("_size").alias("size"),
         "source_size",
         "target",
         copies.alias("copies"),
-        (copies * F.col("size")).alias("taken"),
-        *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)],
+        (copies * F.col("_size")).alias("taken"),
+        *[F.col(f"_keep_{i}").alias(named[c]) for i, c in enumerate(keep)],
     )
 
 
 def _sql() -> str:
-    return r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    (CAST(CAST('0x' || substr(md5('%s:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS n FROM d GROUP BY source),
-w AS (SELECT *, CASE (n - 1) %% 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w, 2.0::DOUBLE * source_size AS cap FROM s),
-l AS (SELECT *, cap / w AS b, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-    / sum(w) OVER (ORDER BY cap / w, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT source, source_size, least(cap, coalesce(max(CASE WHEN level <= b THEN level END) OVER () * w, cap)) AS target FROM l),
-r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS ratio FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-k AS (SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS p, target - floor(ratio) * source_size AS budget,
-    (u / (1 - u)) / ((ratio - floor(ratio)) / (1 - (ratio - floor(ratio)))) AS q FROM r),
-o AS (SELECT *, CASE WHEN p > 0 THEN q / (1 + q) END AS rk FROM k),
-c AS (SELECT *, sum(CASE WHEN rk IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rk NULLS LAST) AS run FROM o),
-f AS (SELECT *, rk IS NOT NULL AND run <= budget AS on0, budget - max(CASE WHEN rk IS NOT NULL AND run <= budget THEN run ELSE 0 END) OVER (PARTITION BY source) AS gap0 FROM c),
-y0 AS (SELECT *, min(CASE WHEN rk IS NOT NULL AND ((gap0 > 0 AND NOT on0) OR (gap0 < 0 AND on0)) AND abs(size - abs(gap0)) < abs(gap0)
-    THEN struct_pack(off := abs(size - abs(gap0)), rk := rk, size := size) END) OVER (PARTITION BY source) AS flip0 FROM f),
-z1 AS (SELECT *, on0 <> coalesce(rk = flip0.rk, false) AS on1, gap0 - sign(gap0) * coalesce(flip0.size, 0) AS gap1 FROM y0),
-y1 AS (SELECT *, min(CASE WHEN rk IS NOT NULL AND ((gap1 > 0 AND NOT on1) OR (gap1 < 0 AND on1)) AND abs(size - abs(gap1)) < abs(gap1)
-    THEN struct_pack(off := abs(size - abs(gap1)), rk := rk, size := size) END) OVER (PARTITION BY source) AS flip1 FROM z1),
-z2 AS (SELECT *, on1 <> coalesce(rk = flip1.rk, false) AS on2, gap1 - sign(gap1) * coalesce(flip1.size, 0) AS gap2 FROM y1),
-y2 AS (SELECT *, min(CASE WHEN rk IS NOT NULL AND ((gap2 > 0 AND NOT on2) OR (gap2 < 0 AND on2)) AND abs(size - abs(gap2)) < abs(gap2)
-    THEN struct_pack(off := abs(size - abs(gap2)), rk := rk, size := size) END) OVER (PARTITION BY source) AS flip2 FROM z2),
-z3 AS (SELECT *, on2 <> coalesce(rk = flip2.rk, false) AS on3, gap2 - sign(gap2) * coalesce(flip2.size, 0) AS gap3 FROM y2)
-SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN on3 THEN 1 ELSE 0 END) AS BIGINT) AS copies,
-    CAST((whole + CASE WHEN on3 THEN 1 ELSE 0 END) AS BIGINT) * size AS taken FROM z3
-""" % SEED
+    def drawn(recursion: str) -> str:
+        """Rows of the strata of a recursion that its samples take."""
+        return f"""SELECT doc_id, source, cls, size, row_number() OVER (PARTITION BY source, cls ORDER BY CASE WHEN n * size / words >= 1 THEN 0 ELSE q / (1 + q) END) <= n AS chosen
+    FROM (SELECT d.*, r.n, su.words, (u / (1 - u)) / ((r.n * size / su.words) / (1 - (r.n * size / su.words))) AS q
+        FROM d JOIN su ON d.source = su.source AND d.cls = su.cls JOIN {recursion} r ON r.source = su.source AND r.i = su.i) WHERE n > 0"""
+
+    def step(recursion: str, late: bool) -> str:
+        n = "least(greatest(floor((due + carry) / (words / docs) + v), 0), docs)"
+        return f"""SELECT source, i, CAST({n} AS BIGINT) AS n, due + carry - {n} * (words / docs) AS carry
+        FROM (SELECT su.source, su.i, su.due, su.words, su.docs, su.v, r.carry FROM {recursion} r JOIN su ON su.source = r.source AND su.i = r.i + 1 WHERE {'' if late else 'NOT '}su.late)"""
+
+    def u(key: str) -> str:
+        return f"(CAST(CAST('0x' || substr(md5('{SEED}:' || {key}), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0"
+
+    words = r"CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT)"
+    power = "(length(bin(size)) - 1)"
+    return f"""
+WITH RECURSIVE d0 AS (SELECT doc_id, coalesce('s' || source, 't') AS source, {words} AS size, {u("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')")} AS u FROM documents),
+d AS (SELECT *, CASE WHEN size > 0 THEN {power} * 8 + (size * 8) // CAST(pow(2, {power}) AS BIGINT) - 8 END AS cls FROM d0),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source) AS k FROM d GROUP BY source),
+w AS (SELECT *, CASE (k - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w, 2.0::DOUBLE * source_size AS cap FROM s),
+l AS (SELECT *, cap / w AS b, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY cap / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t0 AS (SELECT source, source_size, least(cap, coalesce(max(CASE WHEN level <= b THEN level END) OVER () * w, cap)) AS target FROM l),
+t AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS ratio FROM t0),
+c AS (SELECT source, cls, count(*) AS docs, CAST(sum(size) AS BIGINT) AS words FROM d WHERE size > 0 GROUP BY source, cls),
+su AS MATERIALIZED (SELECT c.*, ratio - floor(ratio) AS p, (ratio - floor(ratio)) * words AS due, {u("c.source || ':' || CAST(cls AS VARCHAR)")} AS v,
+    4 * sum(words) OVER (PARTITION BY c.source ORDER BY cls) <= source_size OR cls = min(cls) OVER (PARTITION BY c.source) AS late, row_number() OVER (PARTITION BY c.source ORDER BY cls DESC) AS i
+    FROM c JOIN t ON t.source = c.source),
+r1 AS (SELECT DISTINCT source, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS carry FROM su UNION ALL {step("r1", False)}),
+x1 AS MATERIALIZED ({drawn("r1")}),
+o AS (SELECT su.source, max(CASE WHEN late THEN 0 ELSE i END) AS i, coalesce(max(p) * sum(CASE WHEN late THEN 0 ELSE words END), 0) - max(coalesce(took, 0)) AS carry
+    FROM su LEFT JOIN (SELECT source, sum(size) AS took FROM x1 WHERE chosen GROUP BY source) k ON k.source = su.source GROUP BY su.source),
+r2 AS (SELECT source, CAST(i AS BIGINT) AS i, CAST(0 AS BIGINT) AS n, CAST(carry AS DOUBLE) AS carry FROM o UNION ALL {step("r2", True)}),
+x2 AS ({drawn("(SELECT r2.* FROM r2 JOIN o ON o.source = r2.source WHERE r2.i > o.i)")}),
+x AS (SELECT doc_id, source, cls, size, chosen FROM x1 UNION ALL SELECT doc_id, source, cls, size, chosen FROM x2
+    UNION ALL SELECT doc_id, source, cls, size, false FROM d WHERE size = 0 OR (source, cls) IN (SELECT su.source, su.cls FROM su JOIN (SELECT * FROM r1 UNION ALL SELECT r2.* FROM r2 JOIN o ON o.source = r2.source WHERE r2.i > o.i) r ON r.source = su.source AND r.i = su.i WHERE r.n = 0))
+SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN CAST(floor(ratio) + CASE WHEN chosen THEN 1 ELSE 0 END AS BIGINT) ELSE 0 END AS copies,
+    CASE WHEN size > 0 THEN CAST(floor(ratio) + CASE WHEN chosen THEN 1 ELSE 0 END AS BIGINT) ELSE 0 END * size AS taken
+FROM x JOIN t ON t.source = x.source
+"""
 
 
 ORACLE_SQL = _sql()

@@ -59,13 +59,55 @@ def test_certain_copies_and_sampled_ones(spark):
     docs = spark.createDataFrame([(i, "w " * 10, "a" if i < 40 else "b") for i in range(200)], "doc_id long, text string, source string")
     seen = [0] * 200
     for k in range(6):
-        for r in mixing.mix(docs, seed=f"s{k}", corrections=0).collect():
+        for r in mixing.mix(docs, seed=f"s{k}").collect():
             seen[r.doc_id] += r.copies
     assert seen[:40] == [12] * 40  # the cap: two certain copies each time
     rest = seen[40:]  # 1.375 copies expected each time
     assert min(rest) >= 6 and max(rest) <= 12 and abs(sum(rest) / 6 / 160 - 1.375) < 0.01 and len(set(rest)) > 3
 
 
+def test_odds_follow_size(spark):
+    """Within a stratum (sizes 64 to 71) the share of draws is in proportion to size."""
+    sizes = [64, 71] * 60
+    docs = spark.createDataFrame([(i, "w " * n, "a") for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    drawn = {64: 0, 71: 0}
+    for k in range(5):
+        got = mixing.mix(docs, share=0.3, seed=f"s{k}").collect()
+        assert abs(sum(r.taken for r in got) - 0.3 * sum(sizes)) <= 72  # one sample of fixed size
+        for r in got:
+            drawn[r["size"]] += r.copies
+    assert 0.8 < drawn[71] / drawn[64] < 1.5  # 71 / 64 = 1.11, and chance
+    assert drawn[64] + drawn[71] == pytest.approx(5 * 36, abs=5)
+
+
+def test_repeated_rows_and_null_ids(docs_of):
+    """25 rows of one id and text in each source, then null ids: both within a document of the target."""
+    texts = [t for s in "ab" for t in ["w " * 40] * 25 + [f"x{i} " * (10 + i) for i in range(60)]]
+    sources = [s for s in "ab" for _ in range(85)]
+    ids = [i for s in range(2) for i in [1000 + s] * 25 + [2000 + 100 * s + j for j in range(60)]]
+    for own in (ids, [None] * len(ids)):
+        docs = docs_of(texts, sources, ids=own) if own[0] else docs_of(texts, sources, ids=ids).withColumn("doc_id", F.lit(None).cast("long"))
+        got = mixing.mix(docs, keep=("source", "n_chars")).toPandas()
+        assert len(got) == len(texts)
+        for _, rows in got.groupby("source"):
+            assert abs(rows.taken.sum() - rows.target.iloc[0]) <= 70
+        assert (got.taken <= 2 * got["size"]).all()
+
+
+def test_clashing_names(docs_of):
+    docs = docs_of(["a b", "c d e"]).withColumn("copies", F.lit("mine")).withColumn("doc_copies", F.lit(7)).withColumn("size", F.lit(1.5))
+    got = mixing.mix(docs, keep=("copies", "doc_copies", "size", "text"))
+    assert got.columns == ["doc_id", "size", "source_size", "target", "copies", "taken", "doc_doc_copies", "doc_copies", "doc_size", "text"]
+    row = got.where("size = 3").first()
+    assert (row["doc_doc_copies"], row["doc_copies"], row["doc_size"], row["text"]) == ("mine", 7, 1.5, "c d e")
+
+
+def test_long_text_and_words_for_none(docs_of):
+    got = mixing.mix(docs_of(["w " * 300_000, "", None, *["v " * 30] * 40])).orderBy("doc_id").collect()
+    assert [r["size"] for r in got[:3]] == [300_000, 0, 0] and [r.copies for r in got[1:3]] == [0, 0]
+    assert sum(r.taken for r in got) > 0
+
+
 def test_awkward_rows(docs_of, spark):
     docs = docs_of(["a b c", None, "", "x", "x", "y z"], ["s", "s", None, None, None, "t"], ids=[1, 2, None, 4, 4, None]).withColumn("size", F.lit("clash")).withColumn("_k", F.lit(1))
     got = mixing.mix(docs).collect()
