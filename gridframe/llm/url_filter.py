@@ -4,21 +4,23 @@ A rule names a host, all its subdomains, and a path prefix; the longest that
 fits decides.  For other urls the host decides: personalised PageRank spreads
 trust along links from hosts with allowed pages, and the same walk on the
 reversed graph spreads distrust to hosts that link to blocked ones.  A host
-whose share of distrust exceeds the threshold is blocked.
+whose share of distrust exceeds the threshold by more than the tolerance is
+blocked.  Seeds of either kind sum to one.  Rounds go on until what the ranks
+still lack is at most ``tolerance`` of that sum, however long the paths are.
 
-After k rounds at damping d, ranks lack at most d ** (k + 1) of the seeds' sum,
-and nothing has come further than k links.  The default is the fixed number of
-rounds of the SQL; with a ``tolerance`` rounds go on until what ranks may lack is
-at most that part of the seeds' sum.
+Links are the ``href`` of ``a`` elements: with a scheme and ``//``, with ``//``
+alone, or relative to a ``base`` element of another host.
 
 Defined results: a url that is null or has no ``://`` has an empty host and
 path, fits no rule and is allowed; null html has no links; repeated pages count
-as often as they occur; ties between trust and distrust allow.
+as often as they occur; ties between trust and distrust allow; without links
+between hosts (or without seeds of a kind) ranks are those of the seeds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +35,13 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-DAMPING, ROUNDS, THRESHOLD = 0.85, 8, 0.5
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-6, 0.5
 BROADCAST_HOSTS = 50_000
+#: rounds whose gains are kept as tables of their own before they are summed
+UNSUMMED = 12
+_LINK = r"""(?i)<a\b[^<>]*?[\s"'/]href\s*=\s*["']?([^"'\s<>]+)"""
+_BASE = _LINK.replace("<a", "<base")
+_FULL, _SCHEME = r"(?i)^[a-z][a-z0-9+.-]*://", r"(?i)^[a-z][a-z0-9+.-]*:"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,37 +62,54 @@ def _decide(rules: Sequence[tuple[str, str, str]], which: int) -> Column:
     return out
 
 
+def _named(link: Column) -> Column:
+    """The host that a link names; empty for relative ones and other schemes."""
+    return F.when(link.rlike(_FULL), host_of(link)).when(link.startswith("//"), host_of(F.concat(F.lit("x:"), link))).otherwise(F.lit(""))
+
+
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """src, dst, n: absolute links between different hosts."""
-    links = F.regexp_extract_all(F.col(html_col), F.lit(r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]*://[^\"'\s>]*)"), 1)
-    found = pages.select(host_of(F.col(url_col)).alias("src"), F.explode(links).alias("link")).select("src", host_of(F.col("link")).alias("dst"))
+    """src, dst, n: links between different hosts."""
+    links, base = F.regexp_extract_all(F.col(html_col), F.lit(_LINK), 1), F.coalesce(_named(F.regexp_extract(F.col(html_col), _BASE, 1)), F.lit(""))
+    found = pages.select(host_of(F.col(url_col)).alias("src"), base.alias("base"), F.explode(links).alias("link"))
+    relative = ~F.col("link").startswith("//") & ~F.col("link").rlike(_SCHEME)
+    found = found.select("src", F.when(relative, F.col("base")).otherwise(_named(F.col("link"))).alias("dst"))
     return found.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def lacking(damping: float, rounds: int) -> float:
-    """The part of the seeds' sum that ranks may lack after so many rounds."""
-    return damping ** (rounds + 1)
-
-
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float | None = None) -> DataFrame:
-    """host, rank by steps of personalised PageRank, ``rounds`` or as ``tolerance`` asks for; edges: src, dst, share (of src's links)."""
-    start = seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))
-    rank = start
-    if tolerance is not None:
-        rounds = 0
-        while lacking(damping, rounds) > tolerance:
-            rounds += 1
-        sum_of = seeds.agg(F.sum("seed")).first()[0] or 0.0
-    for _ in range(rounds):
-        last = rank
-        sent = edges.join(rank, edges["src"] == rank["host"]).groupBy("dst").agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("rank"))
-        rank = scratch.table(start.union(sent.select(F.col("dst").alias("host"), "rank")).groupBy("host").agg(F.sum("rank").alias("rank")))
-        if tolerance is not None:
-            # ranks only grow, and each round's growth is at most damping times the last one's
-            grown = (rank.agg(F.sum("rank")).first()[0] or 0.0) - (last.agg(F.sum("rank")).first()[0] or 0.0)
-            if grown * damping <= tolerance * (1 - damping) * sum_of:
-                break
-    return rank
+def rounds_for(damping: float, tolerance: float) -> int:
+    """Rounds after which ranks lack at most ``tolerance`` of the seeds' sum on any graph."""
+    k = 0
+    while damping ** (k + 1) > tolerance:
+        k += 1
+    return k
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int | None = None) -> DataFrame:
+    """host, rank of personalised PageRank, to ``tolerance`` of the seeds' sum or by so many ``rounds``.
+
+    edges: src, dst, share (of src's links); seeds: host, seed.  Both may have a
+    column walk: walks go on side by side.
+    """
+    plain = "walk" not in seeds.columns
+    if plain:
+        edges, seeds = edges.withColumn("walk", F.lit(0)), seeds.withColumn("walk", F.lit(0))
+
+    def summed(parts: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.union, parts).groupBy("walk", "host").agg(F.sum("rank").alias("rank"))
+
+    gain = scratch.table(seeds.select("walk", "host", (F.col("seed") * (1 - damping)).alias("rank")))
+    least = tolerance * (seeds.agg(F.sum("seed")).first()[0] or 0.0)
+    parts, done = [gain], 0
+    # each round's gain is at most damping times the last one's
+    while done < rounds if rounds is not None else (gain.agg(F.sum("rank")).first()[0] or 0.0) * damping > least * (1 - damping):
+        sent = edges.join(gain.withColumnRenamed("host", "src"), ["walk", "src"]).groupBy("walk", F.col("dst").alias("host"))
+        gain = scratch.table(sent.agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("rank")))
+        done += 1
+        parts.append(gain)
+        if len(parts) > UNSUMMED:
+            parts = [scratch.table(summed(parts))]
+    rank = summed(parts)
+    return rank.drop("walk") if plain else rank
 
 
 def judge(
@@ -96,34 +120,30 @@ def judge(
     html_col: str = "html",
     rules: Sequence[tuple[str, str, str]] = RULES,
     damping: float = DAMPING,
-    rounds: int = ROUNDS,
-    tolerance: float | None = None,
+    tolerance: float = TOLERANCE,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """id, host, path, rule, verdict, distrust (the host's share) of every page."""
     parts = pages.select(F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     parts = parts.withColumn("rule", _decide(rules, 1)).withColumn("ruled", _decide(rules, 0))
-    seeds = scratch.table(
-        parts.where("host <> ''")
-        .groupBy("host")
-        .agg(F.count(F.when(F.col("ruled") == "allow", 1)).cast("double").alias("good"), F.count(F.when(F.col("ruled") == "block", 1)).cast("double").alias("bad"))
-    )
+    hosts = parts.where("host <> ''").groupBy("host")
+    hosts = scratch.table(hosts.agg(F.count(F.when(F.col("ruled") == "allow", 1)).alias("good"), F.count(F.when(F.col("ruled") == "block", 1)).alias("bad")))
+    of = hosts.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+    seeds = [hosts.where(f"{c} > 0").select(F.lit(w).alias("walk"), "host", (F.col(c) / F.lit(float(of[c] or 1))).alias("seed")) for w, c in enumerate(("good", "bad"))]
     edges = scratch.table(host_edges(pages, url_col, html_col))
     if edges.isEmpty():
-        ranks = seeds.select("host", (F.col("good") * (1 - damping)).alias("trust"), (F.col("bad") * (1 - damping)).alias("distrust"))
+        ranks = seeds[0].union(seeds[1]).withColumn("rank", F.col("seed") * (1 - damping))
     else:
-        out = edges.groupBy("src").agg(F.sum("n").alias("of"))
-        into = edges.groupBy("dst").agg(F.sum("n").alias("of"))
-        forward = scratch.table(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("of")).alias("share")))
-        back = scratch.table(edges.join(into, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("of")).alias("share")))
-        trust = propagate(forward, seeds.select("host", F.col("good").alias("seed")), damping=damping, rounds=rounds, tolerance=tolerance).withColumnRenamed("rank", "trust")
-        distrust = propagate(back, seeds.select("host", F.col("bad").alias("seed")), damping=damping, rounds=rounds, tolerance=tolerance).withColumnRenamed("rank", "distrust")
-        ranks = trust.join(distrust, "host", "full")
+        ends = [("src", "dst"), ("dst", "src")]  # distrust goes against the links
+        sums = [edges.groupBy(a).agg(F.sum("n").alias("of")) for a, _ in ends]
+        both = [edges.join(s, a).select(F.lit(w).alias("walk"), F.col(a).alias("src"), F.col(b).alias("dst"), (F.col("n") / F.col("of")).alias("share")) for w, ((a, b), s) in enumerate(zip(ends, sums, strict=True))]
+        ranks = propagate(scratch.table(both[0].union(both[1])), seeds[0].union(seeds[1]), damping=damping, tolerance=tolerance)
+    ranks = ranks.groupBy("host").agg(*[F.sum(F.when(F.col("walk") == w, F.col("rank"))).alias(c) for w, c in enumerate(("trust", "distrust"))])
     t, d = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     hosts = scratch.table(ranks.select(F.col("host").alias("_host"), F.when(t + d > 0, d / (t + d)).otherwise(F.lit(0.0)).alias("share")))
     side = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
     share = F.coalesce("share", F.lit(0.0))
-    by_host = F.when(share > threshold, F.lit("block")).otherwise(F.lit("allow"))
+    by_host = F.when(share > threshold + tolerance, F.lit("block")).otherwise(F.lit("allow"))
     return parts.join(side, F.col("host") == F.col("_host"), "left").select(
         F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", by_host).alias("verdict"), share.alias("distrust")
     )
@@ -139,25 +159,29 @@ def _sql() -> str:
 
     low = f"translate({{}}, '{_UP}', '{_LOW}')"
     host = "coalesce(" + low.format("regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1)") + ", '')"
+
+    def quoted(pattern: str) -> str:
+        return pattern.replace("'", "''")
+
+    def named(link: str) -> str:
+        return f"CASE WHEN regexp_matches({link}, '{_FULL}') THEN {host.format(u=link)} WHEN starts_with({link}, '//') THEN {host.format(u="'x:' || " + link)} ELSE '' END"
+
     text = f"""
-WITH p AS (SELECT page_id, html, {host.format(u="url")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+WITH RECURSIVE p AS (SELECT page_id, html, {host.format(u="url")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 r AS (SELECT *, {case(1)} AS rule, {case(0)} AS ruled FROM p),
-s AS (SELECT host, CAST(count(*) FILTER (WHERE ruled = 'allow') AS DOUBLE) AS good, CAST(count(*) FILTER (WHERE ruled = 'block') AS DOUBLE) AS bad FROM r WHERE host <> '' GROUP BY host),
-l AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref\\s*=\\s*["'']?([^"''\\s>]*://[^"''\\s>]*)', 1)) AS u FROM p),
-e AS (SELECT src, dst, count(*) AS n FROM (SELECT src, {host.format(u="u")} AS dst FROM l) WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst),
-f AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM e),
-b AS (SELECT dst AS src, src AS dst, n / sum(n) OVER (PARTITION BY dst) AS share FROM e),
-t0 AS (SELECT host, good * (1 - {DAMPING}::DOUBLE) AS rank FROM s),
-d0 AS (SELECT host, bad * (1 - {DAMPING}::DOUBLE) AS rank FROM s),
-"""
-    for k in range(1, ROUNDS + 1):
-        for t, e in (("t", "f"), ("d", "b")):
-            text += f"{t}{k} AS (SELECT host, sum(rank) AS rank FROM (SELECT * FROM {t}0 UNION ALL SELECT dst, sum(rank * share) * {DAMPING}::DOUBLE FROM {e} JOIN {t}{k - 1} ON src = host GROUP BY dst) GROUP BY host),\n"
-    return text + f"""
-h AS (SELECT coalesce(t.host, d.host) AS host, coalesce(t.rank, 0) AS t, coalesce(d.rank, 0) AS d FROM t{ROUNDS} t FULL JOIN d{ROUNDS} d ON t.host = d.host)
-SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN coalesce(CASE WHEN t + d > 0 THEN d / (t + d) END, 0) > {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
+s AS (SELECT host, count(*) FILTER (WHERE ruled = 'allow') AS good, count(*) FILTER (WHERE ruled = 'block') AS bad FROM r WHERE host <> '' GROUP BY host),
+l AS (SELECT host AS src, coalesce(regexp_extract(html, '{quoted(_BASE)}', 1), '') AS base, unnest(regexp_extract_all(html, '{quoted(_LINK)}', 1)) AS u FROM p),
+n AS (SELECT src, CASE WHEN starts_with(u, '//') OR regexp_matches(u, '{_SCHEME}') THEN {named("u")} ELSE {named("base")} END AS dst FROM l),
+e AS (SELECT src, dst, count(*) AS n FROM n WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst),
+b AS MATERIALIZED (SELECT 0 AS walk, src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM e UNION ALL SELECT 1, dst, src, n / sum(n) OVER (PARTITION BY dst) FROM e),
+g AS (SELECT 0 AS walk, host, good / sum(good) OVER () AS seed FROM s WHERE good > 0 UNION ALL SELECT 1, host, bad / sum(bad) OVER () FROM s WHERE bad > 0),
+r1 AS (SELECT walk, 0 AS k, host, seed * (1 - {DAMPING}::DOUBLE) AS rank FROM g
+    UNION ALL SELECT r1.walk, k + 1, dst, sum(rank * share) * {DAMPING}::DOUBLE FROM r1 JOIN b ON b.walk = r1.walk AND b.src = r1.host WHERE k < {rounds_for(DAMPING, TOLERANCE)} GROUP BY r1.walk, k, dst),
+h AS (SELECT host, coalesce(sum(rank) FILTER (WHERE walk = 0), 0) AS t, coalesce(sum(rank) FILTER (WHERE walk = 1), 0) AS d FROM r1 GROUP BY host)
+SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN coalesce(CASE WHEN t + d > 0 THEN d / (t + d) END, 0) > {THRESHOLD} + {TOLERANCE} THEN 'block' ELSE 'allow' END) AS verdict
 FROM r LEFT JOIN h ON r.host = h.host
 """
+    return text
 
 
 ORACLE_SQL = _sql()
