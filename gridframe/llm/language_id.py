@@ -6,33 +6,41 @@ it.  Per text and language the set bits are counted, corrected for the rate at
 which the filter answers falsely, and the highest count decides.
 
 Learning takes a bounded sample: of each language the ``train_docs`` documents
-of least id hash, out of those whose fold allows it.  Every labelled language is
-learned; what is collected grows with their number.  N-grams seen once in the
-sample are left out, but not where it has no more than two documents.  Scoring
-covers every whole text.
-
-Defined results: null text or text without a letter is ``und`` with score 0;
-a text whose n-grams no filter knows gets the most frequent language, score 0;
-ties go to the more frequent language, then the first by code point; nothing
-learned gives ``und``; repeated rows are each scored.
+of least id hash, out of those whose fold allows it, as whole texts, as far as
+``train_bytes`` go (the first text always).  Every labelled language is learned;
+what is collected grows with their number.  N-grams seen once in the sample are
+left out, but not where it has no more than two documents or would leave none.
+The filter has at least 16 slots for each n-gram of the language that has most,
+so a language answers falsely for less than one n-gram in 100.  Scoring covers
+every whole text.
+
+Defined results: null text or text without a letter (Unicode category L) is
+``und`` with score 0; a text whose n-grams no filter knows gets the most
+frequent language, score 0; ties go to the language with more labelled rows to
+learn from, then the first by code point; nothing learned gives ``und``;
+repeated rows are each scored, and one id is learned once for each language.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import sample, scratch
 from . import text as tx
 
-TRAIN_DOCS, WORD, NGRAM, SLOT_BITS, HASHES, LEAST = 400, 64, 5, 20, 3, 2
+TRAIN_DOCS, TRAIN_BYTES, WORD, NGRAM, LEAST = 400, 4 << 20, 64, 5, 2
+#: least size of the filter, as a power of two, and slots for each n-gram
+SLOT_BITS, ROOM = 20, 16
+#: odd multipliers, one for each slot of an n-gram
+HASHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 CHUNK_BYTES = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _ASCII = np.zeros(256, np.int64)
 _ASCII[list(range(0x41, 0x5B)) + list(range(0x61, 0x7B))] = 1
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -62,28 +70,35 @@ def _grams(raw: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return tx.mix(g[inside]), doc[:count][inside]
 
 
-def _slots(h: np.ndarray) -> Iterator[np.ndarray]:
-    for j in range(HASHES):
-        yield ((h >> tx.U64(j * SLOT_BITS)) & tx.U64((1 << SLOT_BITS) - 1)).astype(np.int64)
-
-
 class Model:
-    """Languages in order of frequency, the sliced filter and its false rates."""
+    """Languages in ``order`` (by default that of their samples' sizes), the sliced filter and its false rates."""
 
-    def __init__(self, samples: dict[str, list[str]], ngram: int = NGRAM):
-        self.names = sorted(samples, key=lambda k: (-len(samples[k]), k))
+    def __init__(self, samples: dict[str, list[str]], ngram: int = NGRAM, order: Sequence[str] | None = None):
+        self.names = list(order) if order is not None else sorted(samples, key=lambda k: (-len(samples[k]), k))
         self.ngram = ngram
+        grams = [self._learned(samples[name]) for name in self.names]
+        most = max(map(len, grams), default=0)
+        self.bits = max(SLOT_BITS, int(np.ceil(np.log2(max(ROOM * most, 1)))))
         kind = np.uint8 if len(self.names) <= 8 else np.uint64
-        self.tables = [np.zeros(1 << SLOT_BITS, kind) for _ in range(0, len(self.names), WORD)]
-        for i, name in enumerate(self.names):
-            raws = [t.encode() for t in samples[name]]
-            raw = np.frombuffer(b"".join(raws), np.uint8)
-            offs = np.concatenate([[0], np.cumsum([len(r) for r in raws])]).astype(np.int64)
-            values, counts = np.unique(_grams(raw, offs, ngram)[0], return_counts=True)
-            for s in _slots(values[counts >= (LEAST if len(raws) > LEAST else 1)]):
-                self.tables[i // WORD][s] |= kind(1 << i % WORD)
-        load = np.array([np.mean((self.tables[i // WORD] >> kind(i % WORD)) & kind(1)) for i in range(len(self.names))])
-        self.false = load**HASHES
+        self.tables = [np.zeros(1 << self.bits, kind) for _ in range(0, len(self.names), WORD)]
+        load = np.zeros(len(self.names))
+        for i, values in enumerate(grams):
+            table = self.tables[i // WORD]
+            for s in self._slots(values):
+                table[s] |= kind(1 << i % WORD)
+            load[i] = np.count_nonzero(table & kind(1 << i % WORD)) / len(table)
+        self.false = load ** len(HASHES)
+
+    def _learned(self, texts: list[str]) -> np.ndarray:
+        raws = [t.encode() for t in texts]
+        offs = np.concatenate([[0], np.cumsum([len(r) for r in raws])]).astype(np.int64)
+        values, counts = np.unique(_grams(np.frombuffer(b"".join(raws), np.uint8), offs, self.ngram)[0], return_counts=True)
+        often = values[counts >= LEAST]
+        return often if len(raws) > LEAST and len(often) else values
+
+    def _slots(self, h: np.ndarray) -> Iterator[np.ndarray]:
+        for m in HASHES:
+            yield ((h * tx.U64(m)) >> tx.U64(64 - self.bits)).astype(np.int64)
 
     def score(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the language, its share of the corrected counts, part of the n-grams it knows) of each text."""
@@ -96,7 +111,7 @@ class Model:
             if i % WORD == 0:
                 table = self.tables[i // WORD]
                 mask = np.full(len(h), ~table.dtype.type(0), table.dtype)
-                for s in _slots(h):
+                for s in self._slots(h):
                     mask &= table[s]
             hits = np.concatenate([[0], np.cumsum((mask >> mask.dtype.type(i % WORD)) & mask.dtype.type(1), dtype=np.int64)])
             got = (hits[edge[1:]] - hits[edge[:-1]]).astype(float)
@@ -112,18 +127,27 @@ def fold(id_col: Column, folds: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % folds
 
 
-def learn(docs: DataFrame, allowed: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Model:
+def learn(docs: DataFrame, allowed: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Model:
     """Fit on the bounded sample; ``allowed`` is a condition on the rows of ``docs``."""
-    rows = docs.where(allowed & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"))
-    order = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
-    picked = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= train_docs)
-    ids = [r.i for r in picked.select("i").distinct().collect()]  # at most train_docs for each language
-    chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], f"_i {docs.select(id_col).schema[0].dataType.simpleString()}")
-    got = docs.where(allowed & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
-    samples: dict[str, list[str]] = {}
-    for r in got.join(F.broadcast(chosen), F.col("i") == F.col("_i"), "left_semi").orderBy("i", "t").collect():
-        samples.setdefault(r.l, []).append(r.t or "")
-    return Model(samples)
+    text = F.col(text_col)
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.xxhash64(text).cast("string")))  # a null id: its text
+    rows = docs.where(allowed & F.col(lang_col).isNotNull() & text.isNotNull()).select(F.col(lang_col).alias("g"), name.alias("i"), text.alias("t"))
+    ids = rows.select("g", "i")
+    counts = {r.g: r["count"] for r in ids.groupBy("g").count().collect()}
+    names = sorted(counts, key=lambda k: (-counts[k], k))
+    if not names:
+        return Model({})
+    # rows below a level of the hash that leaves about twice as many as are wanted, not a ranking of each language
+    levels = docs.sparkSession.createDataFrame([(g, min(1.0, (2 * train_docs + 50) / counts[g])) for g in names], f"g {ids.schema['g'].dataType.simpleString()}, level double")
+    low = ids.withColumn("h", F.xxhash64("i")).join(F.broadcast(levels), "g").where((F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))) < F.col("level"))
+    near: dict = {}
+    for r in low.select("g", "h", "i").distinct().collect():
+        near.setdefault(r.g, []).append((r.h % (1 << 64), r.i))
+    wanted = [(g, i) for g in names for _, i in sorted(near.get(g, ()), key=lambda x: (x[0], str(x[1])))[:train_docs]]
+    samples: dict[str, list[str]] = {g: [] for g in names}
+    for g, _, t in sample.whole_texts(rows, wanted, train_bytes):
+        samples[g].append(t)
+    return Model(samples, order=names)
 
 
 def _run(model: Model):

@@ -13,7 +13,8 @@ pairs, so that a convolution is three look-ups.
 Defined results: null text counts as empty; an empty text is scored as one chunk
 of padding; null labels and ids are never learned from; a row with several
 labels takes the highest; without both classes the score is the share of label
-1 (0.5 without any label); repeated rows are each scored.
+1 (0.5 without any label); repeated rows are each scored, and one id is learned
+once, with the text of least hash.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import sample, scratch
 from . import text as tx
 
-TRAIN_ROWS, EPOCHS, SEED = 2000, 14, 11
+TRAIN_ROWS, TRAIN_BYTES, EPOCHS, SEED = 2000, 32 << 20, 14, 11
 WIDTH, HALF = 6, 64  # bytes of a filter; byte pairs in half a chunk
 EMBED, FILTERS, HIDDEN = 8, 24, 16
 CHUNK_BYTES = 1 << 20
@@ -173,15 +174,15 @@ class Network:
         return 1 / (1 + np.exp(-(z.astype(np.float64) + self.shift)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held: int = 1, train_rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> Network:
-    """Fit on at most ``train_rows`` labelled rows outside the held-out fold."""
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held: int = 1, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES, epochs: int = EPOCHS) -> Network:
+    """Fit on at most ``train_rows`` labelled rows outside the held-out fold, whole texts of ``train_bytes`` for each label."""
     crc = F.crc32(F.col(id_col).cast("string").cast("binary"))
     marked = labels.where(F.col(label_col).isin(0, 1) & (crc % folds != held)).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("y"))
     share = {r.y: r["count"] for r in marked.groupBy("y").count().collect()}
     picked = [r for y in (0, 1) for r in marked.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(train_rows // 2).collect()]
-    chosen = docs.sparkSession.createDataFrame([(r.i, r.y) for r in picked], f"_i {labels.select(id_col).schema[0].dataType.simpleString()}, y int")
-    got = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), F.col("i") == F.col("_i")).select("i", "t", "y").collect()
-    got = sorted(((r.i, r.t or "", r.y) for r in got), key=lambda r: (r[0], r[1]))
+    labelled = docs.sparkSession.createDataFrame([(r.i, r.y) for r in picked], f"i {labels.select(id_col).schema[0].dataType.simpleString()}, g int")
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(labelled), "i").select("g", "i", "t")
+    got = sorted(((i, t, y) for y, i, t in sample.whole_texts(rows, [(r.y, r.i) for r in picked], train_bytes)), key=lambda r: r[0])
     net, y = Network(), np.array([r[2] for r in got], np.float32)
     if len(set(y.tolist())) < 2:
         net.constant = float(y.mean()) if len(y) else 0.5

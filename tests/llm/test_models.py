@@ -60,6 +60,76 @@ def test_bloom_answers_all_languages():
     assert (model.false < 0.01).all()
 
 
+def plain_grams(text, n=language_id.NGRAM):
+    """N-grams over letters; anything else is one space."""
+    out = bytearray(b" ")
+    for b in text.encode() + b" ":
+        b = b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32
+        if b != 32 or out[-1] != 32:
+            out.append(b)
+    return [bytes(out[i : i + n]) for i in range(len(out) - n + 1)]
+
+
+def test_filter_against_plain_sets():
+    """Counts of the filter are those of plain sets, but for the stated rate of false answers."""
+    r = np.random.default_rng(4)
+    words = {k: ["".join(r.choice(list(letters), r.integers(2, 9))) for _ in range(400)] for k, letters in (("x", "abcdefgh"), ("y", "efghijkl"), ("z", "äöüßabcd"))}
+    samples = {k: [" ".join(r.choice(w, 120)) for _ in range(30)] for k, w in words.items()}
+    model = language_id.Model(samples)
+    sets = {}
+    for k, texts in samples.items():
+        values, counts = np.unique([g for t in texts for g in plain_grams(t)], return_counts=True)
+        sets[k] = set(values[counts >= language_id.LEAST].tolist())
+    assert (model.false < 0.01).all()
+    for text in [t for k in "xyz" for t in samples[k][:5]] + [" ".join(r.choice(words["x"] + words["z"], 300)), "QQ qq, 12 Äö"]:
+        grams = plain_grams(text)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        h, _ = language_id._grams(raw, np.array([0, len(raw)]), language_id.NGRAM)
+        assert len(h) == len(grams)
+        mask = np.full(len(h), 255, np.uint8)
+        for s in model._slots(h):
+            mask &= model.tables[0][s]
+        for i, k in enumerate(model.names):
+            true = np.array([g in sets[k] for g in grams])
+            said = (mask >> i) & 1 == 1
+            assert said[true].all()  # no false negatives
+            assert (said & ~true).sum() <= 5 + 3 * model.false[i] * len(grams)
+        best, _, _ = model.score(raw, np.array([0, len(raw)]))
+        corrected = [max(sum(g in sets[k] for g in grams), 0) for k in model.names]
+        if sorted(corrected)[-1] > 1.05 * sorted(corrected)[-2] + 5:
+            assert best[0] == int(np.argmax(corrected))
+
+
+def test_filter_grows_with_the_sample():
+    r = np.random.default_rng(1)
+    long = ["".join(chr(c) for c in r.integers(97, 123, 60_000)) for _ in range(3)]
+    model = language_id.Model({"a": long, "b": ["few words"]})
+    assert model.bits > language_id.SLOT_BITS or (model.false < 0.01).all()
+    huge = language_id.Model({"a": ["".join(chr(c) for c in r.integers(97, 123, 200_000))], "b": ["few words"]})
+    assert huge.bits > language_id.SLOT_BITS and (huge.false < 0.01).all()
+
+
+def test_letters_ties_and_long_texts(docs_of):
+    learnable = ["same words for both"] * 9
+    texts = [*learnable, "½ ②", "²³ __ 7", "ª", "語", "same words " * 200_000]
+    got = language_id.identify(docs_of(texts, langs=["b", "b", "a", "b", "b", "b", "b", "b", "b", *[None] * 5])).orderBy("doc_id").collect()
+    assert [g.lang_pred for g in got[9:11]] == ["und", "und"] and "und" not in [g.lang_pred for g in got[11:]]
+    model = language_id.learn(docs_of(learnable * 100, langs=["b"] * 500 + ["a"] * 400), F.lit(True), train_docs=10)
+    assert model.names == ["b", "a"]  # by labelled rows, not by rows of the sample
+    raw = np.frombuffer(b"same words", np.uint8)
+    assert model.score(raw, np.array([0, len(raw)]))[0][0] == 0  # a tie
+
+
+def test_samples_are_bounded(spark):
+    """Repeated ids are learned once; whole texts come as far as the bytes go, one at least."""
+    from gridframe.llm import sample
+
+    rows = spark.createDataFrame([("a", 1, "x" * 10), ("a", 1, "y" * 10), *[("a", 2, "z" * 50)] * 20, ("a", 3, None), ("b", 1, "w" * 500), ("b", 2, "v"), ("c", 9, "u")], "g string, i int, t string")
+    got = sample.whole_texts(rows, [("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2), ("b", 7)], 40)
+    assert [(g, i, len(t)) for g, i, t in got] == [("a", 1, 10), ("a", 3, 0), ("b", 1, 500)]
+    assert sample.whole_texts(rows, [], 40) == []
+
+
 def test_quality_held_out(spark):
     docs, labels = spark.read.parquet(f"{MEDIUM}/documents.parquet"), spark.read.parquet(f"{MEDIUM}/labels.parquet")
     got = quality_model.classify(docs, labels).join(labels, "doc_id").toPandas()
