@@ -55,7 +55,7 @@ RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    Rule("jwt", r"\beyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
     Rule("url_login", r"://[A-Za-z0-9._-]+:[^\x00-\x20:@/]{3,}@"),
 )

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +37,16 @@ def test_added_rules(docs_of):
     assert [[s["kind"] for s in g.spans if s["kind"] not in ("hex", "assign")] for g in got] == [["github"], ["google"], ["slack"], ["private_key"], ["url_login"], []]
 
 
+def test_tokens_in_time(docs_of):
+    """Texts on which an unbounded expression would start over at every place."""
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.c2lnbmF0dXJl"
+    texts = ["eyJ" * 300_000, "eyJ-" * 200_000, "eyJaaaaaaaa." * 50_000, f"a {token} b", f"x{token}"]
+    start = time.perf_counter()
+    got = sc.scan(docs_of(texts)).orderBy("doc_id").collect()
+    assert time.perf_counter() - start < 30
+    assert [[(s["start"], s["end"]) for s in g.spans if s["kind"] == "jwt"] for g in got[3:]] == [[(2, 2 + len(token))], []]
+
+
 @pytest.mark.parametrize(
     ("pattern", "query"),
     [
