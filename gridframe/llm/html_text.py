@@ -39,15 +39,17 @@ from .url_filter import host_of
 MIN_RUN, MIN_PAGES, SHARD_PAGES, BROADCAST_HOSTS = 6, 3, 500, 50_000
 FLUSH_RUNS, KNOWN_WORDS = 1_000_000, 500_000
 
+#: a tag whose attributes hold no < or >; what does not fit is left to ``_tag_end``
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
-    |<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|object|canvas)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)
-    |<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>"']++|"[^"]*"|'[^']*')*+)>
-    |<(?P<close2>/?)(?P<tag2>[a-z][a-z0-9:-]*)(?P<attrs2>[^>]*)>
+    |<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+')*+)>
+    |<(?P<close2>/?)(?P<tag2>[a-z][a-z0-9:-]*)
     |<[!?][^>]*>
     |(?P<text>[^<]+|<)""",
     re.X | re.S | re.I,
 )
+_RAW = {t: re.compile(rf"</{t}\s*+>", re.I) for t in "script style noscript template svg iframe textarea select object canvas".split()}
+_SPECIAL = re.compile(r"""[>"']""")
 _ATTR = re.compile(r"""([a-z_:-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: fixed values: element names by role
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -81,6 +83,52 @@ def _marked(attrs: str, in_main: bool) -> bool:
     return False
 
 
+def _tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Place of the > that ends a tag, outside of quotes if there is one; -1 without any.
+
+    ``dead`` holds quotes from which on no such > was found: each is tried once
+    a page, so that the whole page takes linear time.
+    """
+    tried, place = [], at
+    while True:
+        m = _SPECIAL.search(page, place)
+        if m is None or m.start() in dead:
+            break
+        if m[0] == ">":
+            return m.start()
+        tried.append(m.start())
+        place = page.find(m[0], m.end()) + 1
+        if not place:
+            break
+    dead.update(tried)
+    return page.find(">", at)
+
+
+def _tokens(page: str) -> Iterator[tuple[str | None, str | None, bool, str]]:
+    """(text, tag, closing, attributes): a text, or a tag; elements of raw text go whole."""
+    at, last, dead = 0, page.rfind(">"), set()
+    while at <= last:
+        m = _TOKEN.match(page, at)
+        at, tag, attrs = m.end(), m["tag"], m["attrs"]
+        if m["text"] is not None:
+            yield m["text"], None, False, ""
+            continue
+        if tag is None and m["tag2"] is not None:
+            tag, end = m["tag2"], _tag_end(page, at, dead)
+            attrs, at = page[at:end], end + 1
+        if tag is None:
+            continue
+        tag, closing = tag.lower(), bool(m["close"] or m["close2"])
+        if tag in _RAW and not closing:
+            end = _RAW[tag].search(page, at)
+            at = end.end() if end else len(page)
+            continue
+        yield None, tag, closing, attrs or ""
+    end = page.find("<!--", at)  # no tag ends from here on; a comment takes the rest
+    if at < (len(page) if end < 0 else end):
+        yield page[at : len(page) if end < 0 else end], None, False, ""
+
+
 def blocks(page: str) -> list[tuple[int, str]]:
     """(role, text) of each block of a page, in order."""
     out: list[tuple[int, str]] = []
@@ -96,15 +144,10 @@ def blocks(page: str) -> list[tuple[int, str]]:
                 out.append((DROPPED if drop else MAIN if main else OPEN, " ".join(words)))
             parts.clear()
 
-    for m in _TOKEN.finditer(page):
-        text = m["text"]
-        if text is not None:
-            parts.append(text)
-            continue
-        tag = m["tag"] or m["tag2"]
+    for text, tag, closing, attrs in _tokens(page):
         if tag is None:
+            parts.append(text)
             continue
-        tag, closing, attrs = tag.lower(), bool(m["close"] or m["close2"]), m["attrs"] or m["attrs2"] or ""
         if tag == "br":
             parts.append(" ")
             continue

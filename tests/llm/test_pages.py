@@ -1,5 +1,6 @@
 import html
 import random
+import time
 import re
 
 import pytest
@@ -225,6 +226,65 @@ def test_shards_do_not_show(spark):
         assert sorted((str(x.page_id), x.url, x.text) for x in ht.main_text(df, shard_pages=n).collect()) == whole
 
 
+@pytest.mark.parametrize("part", ["<p ", '<p "', "<p '\"> ", "<script ", "<!", '<p "x>', "<", "</script", "<a '", "&#1", "<div class='a b "])
+def test_tokens_take_linear_time(part):
+    start = time.perf_counter()
+    ht.blocks(part * (1_000_000 // len(part)))
+    ht.blocks(part * (1_000_000 // len(part)) + ">")
+    assert time.perf_counter() - start < 20
+
+
+def naive_repeated(streams, names, min_run, min_pages):
+    seen = {}
+    for s, n in zip(streams, names):
+        for i in range(len(s) - min_run + 1):
+            seen.setdefault(tuple(s[i : i + min_run]), set()).add(n)
+    out = []
+    for s in streams:
+        hit = [False] * len(s)
+        for i in range(len(s) - min_run + 1):
+            if len(seen[tuple(s[i : i + min_run])]) >= min_pages:
+                hit[i : i + min_run] = [True] * min_run
+        out.append(hit)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_repeated_tokens_against_brute_force(seed):
+    r = random.Random(seed)
+    passages = [[r.choice("abcd") for _ in range(r.randrange(3, 9))] for _ in range(4)]
+    streams, names = [], []
+    for i in range(r.randrange(1, 30)):
+        stream = []
+        for _ in range(r.randrange(6)):
+            stream += r.choice(passages) if r.random() < 0.6 else [r.choice("abcdefgh") for _ in range(r.randrange(5))]
+        streams.append(stream)
+        names.append(r.choice([i, None, 0]))
+    min_run, min_pages = r.choice([(2, 2), (4, 3), (6, 3)])
+    got = ht.repeated_tokens(streams, names, min_run, min_pages)
+    assert [x.tolist() for x in got] == naive_repeated(streams, names, min_run, min_pages)
+
+
+def test_pages_without_main_elements(spark):
+    """Pages of the table stripped of every name that tells what an element is: the array alone separates."""
+    import duckdb
+
+    rows = duckdb.sql("SELECT page_id, html, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM '/root/testdata/sf0.01/pages.parquet' ORDER BY 1").fetchall()
+    host = max({h for _, _, h in rows}, key=lambda h: sum(x == h for _, _, x in rows))
+    menu = "<div><ul>" + "".join(f"<li>entry {i} of the menu</li>" for i in range(8)) + "</ul></div>"
+    opened, want = [], []
+    for i, h, x in rows:
+        if x == host:
+            inner = re.search(r"(?s)<article>.*</article>", h)[0]
+            opened.append((i, f"<html><body>{menu}<div class='c{i % 3}'>{inner.replace('article>', 'div>')}</div><div>all rights of this text are reserved by the {host} company</div></body></html>"))
+            want.append((i, " ".join(t for _, t in ht.blocks(inner)).split()))
+    assert len(opened) >= 5
+    for (i, words), text in zip(want, ht.extract(opened)):
+        got = text.split()
+        assert "menu" not in got and "reserved" not in got
+        assert len(got) >= 0.8 * len(words) and not set(got) - set(words)  # nothing but the article, and most of it
+
+
 def test_html_awkward_tables(spark):
     df = pages(spark, [(1, None, None), (1, "http://a.b/", "<p>x"), (None, "u", "<p>y")]).withColumn("host", F.lit(1)).withColumn("salt", F.lit("x"))
     assert sorted(r.text for r in ht.main_text(df).collect()) == ["", "x", "y"]
