@@ -1,8 +1,8 @@
 """Tables written once to the cluster's shared folder to cut lineage.
 
-The folder is the session's ``spark.checkpoint.dir``; where it is unset (tests
-in local mode) a temporary folder stands in for it.  Files are removed when the
-driver ends.
+The folder is the session's ``spark.checkpoint.dir``; where it is unset in local
+mode (tests) a temporary folder stands in for it, and on a cluster it must be
+set.  Files are removed when the driver ends.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="gridframe-")
         _roots[app] = f"{base.rstrip('/')}/scratch-{app}"
