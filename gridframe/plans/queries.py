@@ -68,9 +68,9 @@ def scan_select(spark, sf_dir):
     return orders(spark, sf_dir)[["o_custkey", "o_totalprice"]].df
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey < 100")
+@query("SELECT o_orderkey, o_totalprice FROM orders")
 def select_column(spark, sf_dir):
-    return orders(spark, sf_dir)["o_totalprice"].to_frame().filter(F.col("o_orderkey") < 100).df
+    return orders(spark, sf_dir)["o_totalprice"].to_frame().df
 
 
 @query(
@@ -148,9 +148,9 @@ def reset_index(spark, sf_dir):
     return orders(spark, sf_dir)[["o_custkey"]].reset_index("row").df
 
 
-@query("SELECT n_regionkey, n_name, n_nationkey FROM nation ORDER BY n_regionkey, n_name LIMIT 5")
+@query("SELECT n_regionkey, n_name, n_nationkey FROM nation")
 def set_index(spark, sf_dir):
-    return Frame(table(spark, sf_dir, "nation")).set_index(["n_regionkey", "n_name"]).head(5).df
+    return Frame(table(spark, sf_dir, "nation")).set_index(["n_regionkey", "n_name"]).df
 
 
 @query("SELECT CAST(range AS BIGINT) AS i FROM range(5, 100, 3)")
@@ -164,7 +164,8 @@ def range_index(spark, sf_dir):
 @query("SELECT o_orderkey, round(o_totalprice * 2 + 1, 4) AS a, round((o_totalprice - 3) / 4, 4) AS b FROM orders")
 def elementwise_scalar(spark, sf_dir):
     f = orders(spark, sf_dir)[["o_totalprice"]]
-    f = f.assign("a", f["o_totalprice"] * 2 + 1).assign("b", F.expr("(o_totalprice - 3) / 4"))
+    f = f.assign("a", f["o_totalprice"] * 2 + 1)
+    f = f.assign("b", (f["o_totalprice"] - 3) / 4)
     return rounded(f.drop("o_totalprice").df, "a", "b")
 
 
@@ -292,10 +293,9 @@ _one("mean", "o_totalprice", "orders", "avg(o_totalprice)")
 _one("std", "o_totalprice", "orders", "stddev_samp(o_totalprice)")
 
 
-@query("SELECT CAST(product(n_regionkey + 1) AS DOUBLE) AS p FROM nation WHERE n_nationkey < 12")
+@query("SELECT CAST(product(n_regionkey + 1) AS DOUBLE) AS p FROM nation")
 def agg_prod(spark, sf_dir):
-    f = nation(spark, sf_dir)
-    f = f[f.df["n_nationkey"] < 12].assign("p", F.col("n_regionkey").cast("double") + 1)
+    f = nation(spark, sf_dir).assign("p", F.col("n_regionkey").cast("double") + 1)
     return f["p"].prod()
 
 
