@@ -55,7 +55,7 @@ class Frame:
     # selection
 
     def series(self, name: str) -> Series:
-        return Series(self, F.col(f"`{name}`"), self.df.schema[name].dataType, name)
+        return Series(self, F.col(f"`{name}`"), self.df.schema[name].dataType, name, plain=True)
 
     def __getitem__(self, item) -> Series | Frame:
         if isinstance(item, str):
@@ -74,6 +74,10 @@ class Frame:
         """Named data columns; the index stays."""
         return self._new(self.df.select(*self.index, *[c for c in columns if c not in self.index]))
 
+    def reading(self, columns: Sequence[str]) -> Frame:
+        """A frame that reads no more than the columns, where its source can't see that by itself."""
+        return self
+
     def filter(self, mask: Series | Column) -> Frame:
         if isinstance(mask, Series):
             if not isinstance(mask.kind, T.BooleanType):
@@ -244,6 +248,16 @@ class Frame:
 
     # evaluation
 
+    @staticmethod
+    def release() -> None:
+        """Give back the rows that positional operations hold."""
+        positional.release()
+
+    def sort_values(self, by: str | Sequence[str]) -> Frame:
+        """The frame with its rows ordered by the columns, ties by the present order."""
+        by = [by] if isinstance(by, str) else list(by)
+        return self._new(self.df, order=[*by, *[c for c in self.order if c not in by]])
+
     def cache(self) -> Frame:
         return self._new(self.df.cache())
 

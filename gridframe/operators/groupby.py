@@ -30,7 +30,8 @@ class GroupedFrame:
             if not isinstance(kind, T.NumericType) and name not in ("min", "max", "count"):
                 raise TypeError(f"{name} of column {c} of type {kind.simpleString()}")
             a = aggregate(name, F.col(f"`{c}`"))
-            out.append((a.cast(kind) if keep_type else a).alias(c))
+            whole = isinstance(kind, T.IntegralType) and name in ("sum", "prod")  # bigint and double: no overflow of narrow columns
+            out.append((a.cast(kind) if keep_type and not whole else a).alias(c))
         return Frame(df.groupBy(*self.by).agg(*out), self.by, self.by, self.frame.coerce)
 
     def sum(self) -> Frame:

@@ -65,19 +65,22 @@ def unique(df: DataFrame, column: str) -> DataFrame:
 
 
 def levels_of(df: DataFrame, column: str) -> DataFrame:
-    """(column, label): distinct values numbered in order from 0."""
-    return positional.with_row_ids(df.select(column).distinct(), [column], "label")
+    """(column, label): distinct values but null, numbered in order from 0."""
+    return positional.with_row_ids(df.select(column).where(F.col(column).isNotNull()).distinct(), [column], "label")
 
 
 def encode(df: DataFrame, column: str, levels: DataFrame | None = None, label: str = "label") -> DataFrame:
-    """Add the label of each value: its place among the distinct values, or in given ``levels`` (column, label)."""
+    """Add the label of each value: its place among the distinct values, or in given ``levels`` (column, label).
+
+    Every row stays: a null, or a value that given levels don't hold, has a null label.
+    """
     levels = levels_of(df, column) if levels is None else levels
-    return df.join(levels.select(F.col(column), F.col("label").alias(label)), column)
+    return df.join(levels.select(F.col(column), F.col("label").alias(label)), column, "left")
 
 
 def decode(labels: DataFrame, levels: DataFrame, column: str, label: str = "label") -> DataFrame:
-    """Add the value of each label."""
-    return labels.join(levels.select(F.col("label").alias(label), F.col(column)), label)
+    """Add the value of each label; null for a null or unknown one."""
+    return labels.join(levels.select(F.col("label").alias(label), F.col(column)), label, "left")
 
 
 def from_arrays(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[str, DataFrame]]:

@@ -12,18 +12,27 @@ ROW_ID = "_row_id"
 #: rows up to which a slice from the start is a top-n rather than a full sort
 TOP_ROWS = 100_000
 _IN_PARTITION = 33  # bits that monotonically_increasing_id gives the row of a partition
+_held: list[DataFrame] = []
+
+
+def release() -> None:
+    """Give back what numbered rows hold in memory and on disk; their frames are computed anew if used again."""
+    while _held:
+        _held.pop().unpersist()
 
 
 def with_row_ids(df: DataFrame, order: Sequence[str], name: str = ROW_ID) -> DataFrame:
     """Add the row number (from 0) in the given order, which should be unique.
 
     Rows are range-partitioned and sorted in parallel; only the row count of
-    each partition comes to the driver.
+    each partition comes to the driver, and goes back as a small table.  The
+    sorted rows are held until ``release``.
     """
     if not order:
         raise ValueError("a positional operation needs an order")
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_gf_at", F.monotonically_increasing_id())
     placed = placed.persist(StorageLevel.MEMORY_AND_DISK)  # both passes must see the same ranges
+    _held.append(placed)
     part = F.shiftright("_gf_at", _IN_PARTITION).cast("int")
     counts = placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
     base, starts = 0, []
@@ -32,8 +41,9 @@ def with_row_ids(df: DataFrame, order: Sequence[str], name: str = ROW_ID) -> Dat
         base += row.n
     if not starts:
         return placed.withColumn(name, F.lit(0).cast("long")).drop("_gf_at")
-    start = F.element_at(F.create_map(*[F.lit(v) for pair in starts for v in (pair[0], pair[1])]), part).cast("long")
-    return placed.withColumn(name, start + F.col("_gf_at").bitwiseAND(F.lit((1 << _IN_PARTITION) - 1))).drop("_gf_at")
+    bases = df.sparkSession.createDataFrame(starts, "_gf_part int, _gf_base long")
+    placed = placed.withColumn("_gf_part", part).join(F.broadcast(bases), "_gf_part")
+    return placed.withColumn(name, F.col("_gf_base") + F.col("_gf_at").bitwiseAND(F.lit((1 << _IN_PARTITION) - 1))).drop("_gf_at", "_gf_part", "_gf_base")
 
 
 def slice_rows(df: DataFrame, order: Sequence[str], start: int | None, stop: int | None, step: int | None = None) -> DataFrame:

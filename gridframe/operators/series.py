@@ -58,8 +58,9 @@ def aggregate(name: str, column: Column) -> Column:
 class Series:
     """One column of a frame, unevaluated."""
 
-    def __init__(self, frame: Frame, column: Column, kind: T.DataType, name: str):
+    def __init__(self, frame: Frame, column: Column, kind: T.DataType, name: str, plain: bool = False):
         self.frame, self.column, self.kind, self.name = frame, column, kind, name
+        self.plain = plain  # a column of the frame, not an expression over several
 
     def _with(self, column: Column, kind: T.DataType | None = None) -> Series:
         return Series(self.frame, column, kind or self.kind, self.name)
@@ -142,11 +143,16 @@ class Series:
         keys = [c for c in dict.fromkeys([*self.frame.index, *self.frame.order]) if c != name]
         return self.frame._new(self.frame.df.select(*keys, self.column.alias(name)))
 
+    def _rows(self) -> DataFrame:
+        """The frame's rows; of a plain column no other is read."""
+        plain = self.plain and self.name in self.frame.columns
+        return (self.frame.reading([self.name]) if plain else self.frame).df
+
     def agg(self, names: Sequence[str]) -> DataFrame:
         """Rows (agg, value) of one pass."""
         if not names:
             raise TypeError("at least one aggregate is needed")
-        one = self.frame.df.agg(*[aggregate(n, self.column).cast("double").alias(n) for n in names])
+        one = self._rows().agg(*[aggregate(n, self.column).cast("double").alias(n) for n in names])
         return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("agg"), F.col(n).alias(self.name)) for n in names])))
 
     def describe(self, names: Sequence[str]) -> DataFrame:
@@ -158,7 +164,7 @@ class Series:
             out = out.cast(self.kind)
         elif name in ("sum", "prod") and isinstance(self.kind, INTEGERS):
             out = out.cast("long")
-        return self.frame.df.agg(out.alias(self.name))
+        return self._rows().agg(out.alias(self.name))
 
     def sum(self) -> DataFrame:
         return self._scalar("sum")

@@ -19,8 +19,8 @@ from ..operators.frame import Frame
 from ..session import build_session
 from ..sources import read_csv, read_grid
 
+#: fixed values: keys, what stands for a missing measurement, columns that go, columns that are averaged
 KEYS = ("longitude", "latitude", "time")
-#: fixed values: what stands for a missing measurement
 SENTINELS = {"tg": -99.99, "pp": -999.9, "rr": -999.9}
 DROPPED = ("pp_stderr", "rr_stderr")
 MEANS = ("tg", "tn", "tx", "pp", "rr")

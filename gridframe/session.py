@@ -26,6 +26,9 @@ def build_session(app: str = "gridframe", master: str | None = None, **conf: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name that driver and executors share: below ``spark.checkpoint.dir``, or temporary where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gridframe-")
+    """A new folder name that driver and executors share: below ``spark.checkpoint.dir``, or temporary where that is unset in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="gridframe-")
     return f"{base.rstrip('/')}/gridframe-{uuid.uuid4().hex}"

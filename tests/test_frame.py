@@ -216,3 +216,16 @@ def test_csv_round_trip(spark, base, tmp_path):
     assert (tmp_path / "two.csv").read_text().splitlines()[0] == "1;5.0"
     base.to_csv(f"file://{tmp_path}/many", single=False)
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/many").count() == 4
+
+
+def test_group_sums_do_not_overflow(spark):
+    f = Frame(spark.createDataFrame([(1, 2**31 - 1, 100), (1, 2**31 - 1, 100)], "k int, v int, b tinyint"))
+    got = f.groupby("k").sum()
+    assert got.dtypes == {"v": "bigint", "b": "bigint"} and [(r.v, r.b) for r in got.df.collect()] == [(2**32 - 2, 200)]
+    assert f.groupby("k").prod().df.first().v == float((2**31 - 1) ** 2)
+
+
+def test_sort_values(spark):
+    f = Frame(spark.createDataFrame([(1, 3, "b"), (2, 1, "a"), (3, 1, "c")], "i int, v int, s string"), ("i",))
+    assert f.sort_values("v").evaluate().i.tolist() == [2, 3, 1]
+    assert f.sort_values(["v", "s"])[1:3].evaluate().i.tolist() == [3, 1]

@@ -84,3 +84,27 @@ def test_functions(spark):
     assert str(r.d) == "1950-03-01" and r.ym == "195003" and r.ymi == 195003
     assert (r.near, r.far, r.s, r.m, r.u1, r.u2, r.u3) == (True, False, "std", 61, 61, 1293, 1294.0)
     assert r.v == pytest.approx(12.34, rel=1e-6)
+
+
+def test_encode_keeps_every_row(spark):
+    df = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b")], "i int, v string")
+    coded, levels = op.from_arrays(df, ["v"])
+    assert [(r.i, r.v_label) for r in coded.orderBy("i").collect()] == [(1, 1), (2, None), (3, 0), (4, 1)]
+    back = op.decode(coded.select("i", F.col("v_label").alias("label")), levels["v"], "v")
+    assert [(r.i, r.v) for r in back.orderBy("i").collect()] == [(1, "b"), (2, None), (3, "a"), (4, "b")]
+    given = spark.createDataFrame([("a", 7)], "v string, label long")
+    assert [r.label for r in op.encode(df, "v", given).orderBy("i").collect()] == [None, None, 7, None]
+
+
+def test_many_partitions_and_release(spark):
+    from gridframe.operators import positional
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    try:
+        df = op.with_row_ids(spark.range(3000).select((F.col("id") * 7 % 3000).alias("v")), ["v"])
+        assert df.columns == ["v", "_row_id"] and df.where("_row_id <> v").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    positional.release()
+    assert not positional._held and df.count() == 3000
