@@ -1,7 +1,10 @@
 """The grid source: n-dimensional variables as rows, one for each cell.
 
 Dimensions become key columns, variables value columns.  A cell's row number
-follows from its indices, so a slice of a scan reads only its range.
+follows from its indices in the declared order of dimensions, so a slice of a
+scan reads only its range.  A whole scan goes through the file in the order in
+which it is stored, by ranges or by chunks, so that it reads every byte once,
+whatever the declared order; its rows carry their number.
 
 Options: ``variables`` (comma-separated, read no others), ``start`` and ``stop``
 (rows to read), ``dim_order`` ("variable": each variable is read in its own
@@ -20,6 +23,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ByteType, DataType, DateType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructField, StructType
 
@@ -28,8 +32,12 @@ from ..operators.positional import ROW_ID
 from . import formats
 
 #: fixed values: column types of raw values
-KINDS = {"i1": ByteType, "i2": ShortType, "i4": IntegerType, "f4": FloatType, "f8": DoubleType, "S1": StringType}
+KINDS = {"i1": ByteType, "i2": ShortType, "i4": IntegerType, "i8": LongType, "u1": ShortType, "u2": IntegerType, "u4": LongType, "f4": FloatType, "f8": DoubleType, "S1": StringType}
+#: signed types that hold the values of unsigned ones
+WIDER = {"u1": "i2", "u2": "i4", "u4": "i8"}
 BATCH_ROWS = 65_536
+#: a variable of one dimension up to this length is read whole, once for each partition
+AXIS = 1 << 20
 
 
 def _origin(attrs: dict) -> np.datetime64 | None:
@@ -43,6 +51,8 @@ def column_type(v: formats.Variable) -> DataType:
         return DateType()
     if "scale_factor" in v.attrs:
         return FloatType()
+    if v.kind.str[1:] not in KINDS:
+        raise ValueError(f"variable {v.name} has a type that no column has ({v.kind})")
     return KINDS[v.kind.str[1:]]()
 
 
@@ -54,12 +64,14 @@ def decoded(v: formats.Variable, raw: np.ndarray) -> np.ndarray:
         return origin + raw.astype("timedelta64[D]")
     if "scale_factor" in v.attrs:
         return raw.astype(np.float32) * np.float32(v.attrs["scale_factor"]) + np.float32(v.attrs.get("add_offset", 0))
-    return raw
+    return raw.astype(WIDER.get(raw.dtype.str[1:], raw.dtype))
 
 
 class GridPartition(InputPartition):
-    def __init__(self, start: int, stop: int):
-        self.start, self.stop = start, stop
+    """Rows [start, stop); ``unit`` says of what: rows in order, stored cells, or chunks."""
+
+    def __init__(self, start: int, stop: int, unit: str = "row"):
+        self.start, self.stop, self.unit = start, stop, unit
 
 
 class GridReader(DataSourceReader):
@@ -67,20 +79,70 @@ class GridReader(DataSourceReader):
         self.path, self.schema = options["path"], schema
         self.declared = options.get("dim_order", "variable") == "declared"
         self.rows = int(options.get("partition_rows", 1_000_000))
-        cells = formats.read_header(self.path)[1].cells
-        self.low = min(int(options.get("start", 0)), cells)
-        self.high = min(int(options.get("stop", cells)), cells)
+        header = formats.read_header(self.path)[1]
+        self.cells = header.cells
+        self.low = min(int(options.get("start", 0)), self.cells)
+        self.high = min(int(options.get("stop", self.cells)), self.cells)
+        self.order, self.chunks = self._stored(header)
+
+    def _stored(self, header: formats.Header) -> tuple[list[str], tuple[int, ...] | None]:
+        """Dimensions in the stored order of the variable that has most of them, and the chunks it is stored in."""
+        names = [f.name for f in self.schema.fields if f.name in header.variables and f.name not in header.dims]
+        if self.declared or not names:
+            return list(header.dims), None
+        dims, chunks = formats.stored_blocks(header, max(names, key=lambda n: len(header.variables[n].dims)))
+        rest = [d for d in header.dims if d not in dims]
+        return [*dims, *rest], chunks and (*chunks, *[header.dims[d] for d in rest])
 
     def partitions(self) -> Sequence[InputPartition]:
-        return [GridPartition(a, min(a + self.rows, self.high)) for a in range(self.low, self.high, self.rows)] or [GridPartition(0, 0)]
+        if (self.low, self.high) != (0, self.cells):
+            cuts, unit = [(a, min(a + self.rows, self.high)) for a in range(self.low, self.high, self.rows)], "row"
+        elif self.chunks:
+            sizes = formats.read_header(self.path)[1].dims
+            n = int(np.prod([-(-sizes[d] // c) for d, c in zip(self.order, self.chunks, strict=True)], dtype=np.int64))
+            step = max(1, self.rows // int(np.prod(self.chunks, dtype=np.int64)))
+            cuts, unit = [(a, min(a + step, n)) for a in range(0, n, step)], "chunk"
+        else:
+            cuts, unit = [(a, min(a + self.rows, self.cells)) for a in range(0, self.cells, self.rows)], "stored"
+        return [GridPartition(a, b, unit) for a, b in cuts] or [GridPartition(0, 0)]
+
+    def _cells(self, part: GridPartition, dims: dict[str, int]) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:
+        """(row numbers, place in each dimension) of batches of a partition, as they are best read."""
+        names, sizes = list(dims), list(dims.values())
+        shape = [dims[d] for d in self.order]
+        if part.unit == "chunk":
+            grid = [-(-n // c) for n, c in zip(shape, self.chunks, strict=True)]
+            for k in range(part.start, part.stop):
+                low = [int(i) * c for i, c in zip(np.unravel_index(k, grid), self.chunks, strict=True)]
+                axes = [np.arange(a, min(a + c, n)) for a, c, n in zip(low, self.chunks, shape, strict=True)]
+                box = [len(x) for x in axes]
+                for a in range(0, int(np.prod(box, dtype=np.int64)), BATCH_ROWS):
+                    inside = np.unravel_index(np.arange(a, min(a + BATCH_ROWS, int(np.prod(box, dtype=np.int64)))), box)
+                    place = {d: x[i] for d, x, i in zip(self.order, axes, inside, strict=True)}
+                    yield np.ravel_multi_index([place[d] for d in names], sizes), place
+            return
+        if part.unit == "stored":
+            for a in range(part.start, part.stop, BATCH_ROWS):
+                place = dict(zip(self.order, np.unravel_index(np.arange(a, min(a + BATCH_ROWS, part.stop)), shape), strict=True))
+                yield np.ravel_multi_index([place[d] for d in names], sizes), place
+            return
+        row = np.arange(part.start, part.stop)
+        place = dict(zip(names, np.unravel_index(row, sizes), strict=True)) if len(row) else {}
+        if not len(row):
+            return
+        keys = [place[d] for d in reversed(self.order)]
+        if self.chunks:  # a chunk's cells together
+            keys += [place[d] // c for d, c in zip(reversed(self.order), reversed(self.chunks), strict=True)]
+        by = np.lexsort(keys)
+        for a in range(0, len(by), BATCH_ROWS):
+            some = by[a : a + BATCH_ROWS]
+            yield row[some], {d: x[some] for d, x in place.items()}
 
     def read(self, partition: GridPartition) -> Iterator[pa.RecordBatch]:
-        form, header = formats.read_header(self.path)
-        names = list(header.dims)
-        sizes = [header.dims[d] for d in names]
-        for start in range(partition.start, partition.stop, BATCH_ROWS):
-            cell = np.arange(start, min(start + BATCH_ROWS, partition.stop))
-            place = dict(zip(names, np.unravel_index(cell, sizes), strict=True))
+        store = formats.Store(self.path)
+        form, header = formats.read_header(self.path, store)
+        names, axes = list(header.dims), {}
+        for cell, place in self._cells(partition, header.dims):
             arrays = []
             for f in self.schema.fields:
                 if f.name == ROW_ID:
@@ -96,7 +158,13 @@ class GridReader(DataSourceReader):
                     at = cell
                 else:
                     at = np.ravel_multi_index([place[d] for d in v.dims], [header.dims[d] for d in v.dims]) if v.dims else np.zeros(len(cell), np.int64)
-                values = decoded(v, formats.read_values(self.path, form, header, f.name, at))
+                if len(v.dims) < 2 and (not v.dims or header.dims[v.dims[0]] <= AXIS):
+                    if f.name not in axes:
+                        axes[f.name] = formats.read_values(self.path, form, header, f.name, np.arange(header.dims[v.dims[0]] if v.dims else 1), store)
+                    raw = axes[f.name][at]
+                else:
+                    raw = formats.read_values(self.path, form, header, f.name, at, store)
+                values = decoded(v, raw)
                 arrays.append(pa.array(np.char.decode(values, "latin1")) if values.dtype.kind == "S" else pa.array(values))
             yield pa.RecordBatch.from_arrays(arrays, [f.name for f in self.schema.fields])
 
@@ -175,6 +243,29 @@ class GridFrame(Frame):
         out = self.scanned(self.df.sparkSession, self.options | bounds, self.coerce)
         return out if (step or 1) == 1 else out._new(out.df.filter(f"pmod({ROW_ID} - {bounds['start']}, {int(step)}) = 0"))
 
+    def head(self, n: int = 10) -> Frame:
+        """The first n rows; of a bare scan only their cells are read."""
+        return self.slice(0, n) if self.options is not None else super().head(n)
+
+    def drop(self, columns: str | Sequence[str]) -> Frame:
+        """Without the columns; a bare scan no longer reads them."""
+        if self.options is not None and isinstance(columns, (str, list, tuple)):
+            gone = [columns] if isinstance(columns, str) else columns
+            left = [c for c in self.columns if c not in gone]
+            if left and not set(gone) & set(self.index):
+                return self.select(left)
+        return super().drop(columns)
+
+    def reading(self, columns: Sequence[str]) -> Frame:
+        """A frame that reads no more variables than the columns; this one where it is no bare scan."""
+        wanted = [c for c in columns if c in self.columns]
+        return self.select(wanted) if self.options is not None and wanted and len(wanted) < len(self.columns) else self
+
+    def subset(self, dimension: str, low, high) -> Frame:
+        """The cells whose label in a dimension lies from ``low`` to ``high``, both included."""
+        c = F.col(f"`{dimension}`")
+        return self._new(self.df.where((c >= F.lit(low)) & (c <= F.lit(high))))
+
     def keyed(self, df=None) -> Frame:
         """The plain frame ordered by its dimensions, without row numbers."""
         df = self.df if df is None else df

@@ -6,6 +6,7 @@ import pytest
 from gridframe.plans import pipeline
 from gridframe.sources import formats, read_grid
 from gridframe.sources.grid import GridReader
+from hdf5_files import Writer, write_netcdf4
 
 #: a fixed value: a small text grid
 CDL = """netcdf small {
@@ -145,3 +146,173 @@ def test_pipeline_against_pandas(spark, tmp_path, capsys):
     grouped = pd.read_csv(tmp_path / "out/grouped.csv").set_index("column").grouped_sum
     assert grouped.to_dict() == pytest.approx({f"{k}_mean": v for k, v in means.items()}, rel=1e-4)
     assert isinstance(a.time[0], datetime.date)
+
+
+def four_dims(old=False, dense=False, indirect=False, folder="", **storage):
+    r = np.random.default_rng(3)
+    dims = {"longitude": np.arange(5, dtype="<f4") / 2, "latitude": np.arange(4, dtype="<f4") + 50, "time": np.arange(7, dtype="<i4") + 30}
+    values = {n: r.integers(-300, 300, (7, 4, 5)).astype(k) for n, k in (("tg", "<i2"), ("pp", ">i2"), ("n", "<u1"), ("big", "<i8"), ("x", "<f8"), ("y", "<f4"))}
+    attrs = {"tg": {"scale_factor": np.float32(0.01), "_FillValue": np.int16(-9999), "units": "Celsius"}, "pp": {"scale_factor": np.array([0.1], "<f4"), "long_name": "pressure"}}
+    path = f"{folder}/grid.nc"
+    write_netcdf4(path, dims, {n: (v, attrs.get(n, {})) for n, v in values.items()}, old=old, dense=dense, indirect=indirect, **storage)
+    return path, dims, values
+
+
+STORED = [
+    {},
+    {"dense": True},
+    {"dense": True, "indirect": True},
+    {"old": True},
+    {"chunks": (3, 2, 5)},
+    {"chunks": (2, 3, 2), "filters": ("shuffle", "deflate")},
+    {"chunks": (7, 4, 5), "filters": ("deflate", "fletcher"), "dense": True},
+    {"chunks": (2, 2, 2), "filters": ("shuffle", "deflate"), "old": True},
+]
+
+
+@pytest.mark.parametrize("how", STORED)
+def test_netcdf4(tmp_path, how):
+    path, dims, values = four_dims(folder=tmp_path, **how)
+    form, header = formats.read_header(path)
+    assert form == "hdf5" and header.dims == {"longitude": 5, "latitude": 4, "time": 7}
+    assert set(header.variables) == {*dims, *values} and header.variables["tg"].dims == ["time", "latitude", "longitude"]
+    assert header.variables["tg"].attrs["units"] == "Celsius" and header.variables["tg"].attrs["_FillValue"] == -9999
+    assert header.variables["time"].attrs["units"].startswith("days since 1950")
+    for name, want in (dims | values).items():
+        got = formats.read_values(path, form, header, name, np.arange(want.size))
+        assert np.array_equal(got, want.ravel()), name
+        some = np.random.default_rng(1).integers(0, want.size, 30)
+        assert np.array_equal(formats.read_values(path, form, header, name, some), want.ravel()[some])
+
+
+def test_netcdf4_frames(spark, tmp_path):
+    path, dims, values = four_dims(folder=tmp_path, chunks=(2, 3, 2), filters=("shuffle", "deflate"))
+    f = read_grid(spark, path, partition_rows=30)
+    assert f.dtypes == {"tg": "float", "pp": "float", "n": "smallint", "big": "bigint", "x": "double", "y": "float"}
+    got = f.evaluate()
+    want = values["tg"].transpose(2, 1, 0).ravel().astype("f4") * np.float32(0.01)
+    assert got.tg.to_numpy() == pytest.approx(want) and got.big.tolist() == values["big"].transpose(2, 1, 0).ravel().tolist()
+    assert got.time[0] == datetime.date(1950, 1, 31)
+    part = f[13:57].evaluate()
+    assert part.x.tolist() == values["x"].transpose(2, 1, 0).ravel()[13:57].tolist()
+
+
+def test_missing_chunks_are_filled(tmp_path):
+    values = np.arange(24, dtype="<i4").reshape(6, 4)
+    w = Writer()
+    w.save(f"{tmp_path}/x.h5", [("v", w.dataset(values, {}, chunks=(2, 4), fill=-7, skip=(1,)))])
+    form, header = formats.read_header(f"{tmp_path}/x.h5")
+    assert header.dims == {"phony_6": 6, "phony_4": 4}
+    want = values.copy()
+    want[2:4] = -7
+    assert formats.read_values(f"{tmp_path}/x.h5", form, header, "v", np.arange(24)).tolist() == want.ravel().tolist()
+
+
+def test_unknown_filters_are_named(tmp_path):
+    values = np.arange(24, dtype="<i4").reshape(6, 4)
+    w = Writer()
+    w.save(f"{tmp_path}/x.h5", [("v", w.dataset(values, {}, chunks=(2, 4), filters=("shuffle",)))])
+    form, header = formats.read_header(f"{tmp_path}/x.h5")
+    header.variables["v"].data.filters = [(32015, [])]
+    with pytest.raises(ValueError, match="filter 32015"):
+        formats.read_values(f"{tmp_path}/x.h5", form, header, "v", np.arange(24))
+
+
+@pytest.mark.parametrize("form", ["classic", "netcdf4", "chunked"])
+def test_a_scan_reads_each_byte_once(spark, tmp_path, monkeypatch, form):
+    """The declared order of dimensions is the reverse of the stored one."""
+    r = np.random.default_rng(5)
+    shape = {"longitude": 40, "latitude": 30, "time": 300}
+    dims = {d: np.arange(n, dtype="f4" if d != "time" else "i4") for d, n in shape.items()}
+    values = r.integers(-300, 300, (300, 30, 40)).astype("i2")
+    path = f"{tmp_path}/g.nc"
+    if form == "classic":
+        formats.write_classic(path, shape, [*[(d, [d], v, {}) for d, v in dims.items()], ("tg", ["time", "latitude", "longitude"], values, {})])
+    else:
+        write_netcdf4(path, dims, {"tg": (values, {})}, **({"chunks": (50, 15, 40), "filters": ("shuffle", "deflate")} if form == "chunked" else {}))
+    f = read_grid(spark, path, partition_rows=60_000)
+    read = []
+    plain = formats.Store.read_at
+    monkeypatch.setattr(formats.Store, "read_at", lambda self, at, n: read.append(n) or plain(self, at, n))
+
+    def scan(options):
+        reader = GridReader(f.df.schema, options)
+        read.clear()
+        batches = [b for p in reader.partitions() for b in reader.read(p)]
+        return sum(read), batches
+
+    n, batches = scan(f.options)
+    assert len(batches) > 4 and n < 1.2 * values.nbytes + 300_000
+    got = np.empty(values.size, "i2")
+    for b in batches:
+        got[b.column(0).to_numpy()] = b.column(b.schema.get_field_index("tg")).to_numpy()
+    assert np.array_equal(got, values.transpose(2, 1, 0).ravel())
+    n, batches = scan(f.options | {"start": "0", "stop": "10"})
+    assert sum(b.num_rows for b in batches) == 10 and n < values.nbytes / 2 + 300_000
+    assert f.head(10).options["stop"] == "10" and f.head(10).evaluate().tg.tolist() == got[:10].tolist()
+
+
+def test_unread_variables(spark, cdl):
+    f = read_grid(spark, cdl)
+    assert f.drop("tg").options["variables"] == "n" and f.drop("tg").evaluate().n.tolist() == [0, 2, 4, 1, 3, 5]
+    assert f["n"]._rows().columns == ["_row_id", "longitude", "latitude", "n"] and f["n"].sum().first()[0] == 15
+    assert (f["n"] + 1)._rows().columns == f.df.columns  # an expression reads what the frame has
+    assert f.drop(["tg", "n"]).columns == []
+    assert f.subset("latitude", 10, 11).evaluate().n.tolist() == [0, 2, 1, 3]
+
+
+def test_records_of_classic_files(tmp_path):
+    """Record variables lie record by record; a single one is not padded; version 5 counts in 64 bits."""
+    import struct
+
+    def text(s, wide):
+        return struct.pack(">q" if wide else ">i", len(s)) + s.encode() + b"\0" * (-len(s) % 4)
+
+    for version, names in ((1, "ab"), (2, "ab"), (5, "ab"), (1, "a")):
+        wide = version == 5
+        count = ">q" if wide else ">i"
+        head = b"CDF" + bytes([version]) + struct.pack(count, 3)
+        head += struct.pack(">i", 10) + struct.pack(count, 2) + text("time", wide) + struct.pack(count, 0) + text("x", wide) + struct.pack(count, 5)
+        head += struct.pack(">i", 0) + struct.pack(count, 0) + struct.pack(">i", 11) + struct.pack(count, len(names))
+        tail = b""
+        width = 10 if len(names) == 1 else 12
+        length = len(head) + len(names) * (len(text("a", wide)) + 3 * struct.calcsize(count) + 4 + struct.calcsize(count) + 4 + struct.calcsize(count) + (4 if version == 1 else 8))
+        for i, name in enumerate(names):
+            head += text(name, wide) + struct.pack(count, 2) + struct.pack(count, 0) + struct.pack(count, 1) + struct.pack(">i", 0) + struct.pack(count, 0)
+            head += struct.pack(">i", 3) + struct.pack(count, 12) + struct.pack(">i" if version == 1 else ">q", length + 12 * i)
+        assert len(head) == length
+        values = {n: (np.arange(15).reshape(3, 5) + 100 * i).astype(">i2") for i, n in enumerate(names)}
+        for record in range(3):
+            for n in names:
+                tail += values[n][record].tobytes().ljust(width, b"\0")
+        path = f"{tmp_path}/r{version}{names}.nc"
+        with open(path, "wb") as f:
+            f.write(head + tail)
+        form, header = formats.read_header(path)
+        assert form == "classic" and header.dims == {"time": 3, "x": 5}
+        for n in names:
+            assert formats.read_values(path, form, header, n, np.arange(15)).tolist() == values[n].ravel().tolist()
+
+
+def test_pipeline_over_netcdf4(spark, tmp_path):
+    """The command line gives the same results on compressed netCDF-4 files, stored by time, as on classic ones."""
+    for folder in ("classic", "hdf5"):
+        (tmp_path / folder).mkdir()
+    grids(tmp_path / "classic")
+    for i in (1, 2):
+        source = str(tmp_path / f"classic/data{i}.nc")
+        form, header = formats.read_header(source)
+        dims, variables = {}, {}
+        for name, v in header.variables.items():
+            raw = formats.read_values(source, form, header, name, np.arange(int(np.prod([header.dims[d] for d in v.dims]))))
+            raw = raw.astype(raw.dtype.newbyteorder("<"))
+            if name in header.dims:
+                dims[name] = raw
+            else:
+                factor = {k: np.asarray(x, "<f4" if k == "scale_factor" else "<i2") for k, x in v.attrs.items()}
+                variables[name] = (raw.reshape([header.dims[d] for d in v.dims]).transpose(2, 1, 0), factor)
+        write_netcdf4(str(tmp_path / f"hdf5/data{i}.nc"), dims, variables, dense=i == 1, chunks=(20, 4, 2), filters=("shuffle", "deflate"))
+    for folder in ("classic", "hdf5"):
+        pipeline.main(["-i", str(tmp_path / folder), "-s", "100:700", "-o", str(tmp_path / f"{folder}-out")])
+    for name in ("head", "agg", "grouped"):
+        assert (tmp_path / f"hdf5-out/{name}.csv").read_text() == (tmp_path / f"classic-out/{name}.csv").read_text()
