@@ -265,6 +265,12 @@ class Frame:
         """The frame as pandas, in order; the only time rows come to the driver."""
         return self._ordered(self.df).toPandas()
 
+    def to_grid(self, path: str, form: str = "classic") -> None:
+        """Write a small frame as a grid file (``classic`` or ``netcdf4``), its index as dimensions."""
+        from ..sources.sink import write_grid
+
+        write_grid(self, path, form)
+
     def to_csv(self, path: str, sep: str = ",", header: bool = True, index: bool = True, single: bool = True) -> None:
         from ..sources.sink import write_csv
 

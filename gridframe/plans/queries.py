@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -450,10 +449,52 @@ data:
     FROM (SELECT range AS x FROM range(2)), (SELECT range AS y FROM range(3)), (SELECT range AS t FROM range(2))"""
 )
 def grid_cdl(spark, sf_dir):
-    path = Path(formats.local(shared_folder(spark)), "sample.cdl")
-    path.parent.mkdir(parents=True)
-    path.write_text(CDL)
-    return read_grid(spark, str(path)).keyed().df
+    path = f"{shared_folder(spark)}/sample.cdl"
+    formats.save(path, CDL.encode())
+    return read_grid(spark, path).keyed().df
+
+
+#: suppliers as a grid of packed balances, written in each of the formats and read again
+_CELLS = "SELECT s_nationkey, s_suppkey, CAST(s_acctbal AS FLOAT) AS balance FROM supplier"
+
+
+def _supplier_grid(spark, sf_dir, form: str) -> Frame:
+    path = f"{shared_folder(spark)}/supplier.nc"
+    cells = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.col("s_acctbal").cast("float").alias("balance"))
+    Frame(cells, ("s_nationkey", "s_suppkey")).to_grid(path, form)
+    return read_grid(spark, path)
+
+
+@query(_CELLS)
+def grid_classic(spark, sf_dir):
+    f = _supplier_grid(spark, sf_dir, "classic")
+    return f[f["balance"] < 1e30].keyed().df
+
+
+@query(_CELLS)
+def grid_hdf5(spark, sf_dir):
+    f = _supplier_grid(spark, sf_dir, "netcdf4")
+    return f[f["balance"] < 1e30].keyed().df
+
+
+_ALL_CELLS = f"""SELECT s_nationkey, s_suppkey, coalesce(balance, CAST(9.96921e36 AS FLOAT)) AS balance, row_number() OVER (ORDER BY s_nationkey, s_suppkey) - 1 AS rn
+    FROM (SELECT DISTINCT s_nationkey FROM supplier) CROSS JOIN (SELECT DISTINCT s_suppkey FROM supplier) LEFT JOIN ({_CELLS}) USING (s_nationkey, s_suppkey)"""
+
+
+@query(f"SELECT s_nationkey, s_suppkey, balance FROM ({_ALL_CELLS}) WHERE rn < 12")
+def grid_head(spark, sf_dir):
+    return _supplier_grid(spark, sf_dir, "netcdf4").head(12).keyed().df
+
+
+@query(f"SELECT s_nationkey, s_suppkey, balance FROM ({_ALL_CELLS}) WHERE rn >= 7 AND rn < 40")
+def grid_slice(spark, sf_dir):
+    return _supplier_grid(spark, sf_dir, "classic")[7:40].keyed().df
+
+
+@query(f"{_CELLS} WHERE s_nationkey BETWEEN 5 AND 12")
+def grid_subset(spark, sf_dir):
+    f = _supplier_grid(spark, sf_dir, "netcdf4").subset("s_nationkey", 5, 12)
+    return f[f["balance"] < 1e30].keyed().df
 
 
 # the pipeline

@@ -290,5 +290,8 @@ class GridFrame(Frame):
     def to_csv(self, path: str, *args, **options) -> None:
         self.keyed().to_csv(path, *args, **options)
 
+    def to_grid(self, path: str, form: str = "classic") -> None:
+        self.keyed().to_grid(path, form)
+
     def evaluate(self):
         return self._ordered(self.df).drop(ROW_ID).toPandas()

@@ -3,8 +3,8 @@ import datetime
 import numpy as np
 import pytest
 
-from gridframe.plans import pipeline
-from gridframe.sources import formats, read_grid
+from gridframe.plans import convert, pipeline
+from gridframe.sources import formats, hdf5, read_grid
 from gridframe.sources.grid import GridReader
 from hdf5_files import Writer, write_netcdf4
 
@@ -316,3 +316,37 @@ def test_pipeline_over_netcdf4(spark, tmp_path):
         pipeline.main(["-i", str(tmp_path / folder), "-s", "100:700", "-o", str(tmp_path / f"{folder}-out")])
     for name in ("head", "agg", "grouped"):
         assert (tmp_path / f"hdf5-out/{name}.csv").read_text() == (tmp_path / f"classic-out/{name}.csv").read_text()
+
+
+@pytest.mark.parametrize("form", ["classic", "netcdf4"])
+def test_written_grids(spark, cdl, tmp_path, form):
+    """What is written is read again; cells without a row are filled."""
+    f = read_grid(spark, cdl)
+    f[f["n"] != 3].to_grid(f"{tmp_path}/deep/g.nc", form)
+    back = read_grid(spark, f"{tmp_path}/deep/g.nc")
+    got = back.evaluate()
+    assert got.n.tolist() == [0, 2, 4, 1, -2147483647, 5] and back.index == ("longitude", "latitude")
+    assert got.longitude.tolist() == [25.5] * 3 + [26.0] * 3 and got.latitude.tolist() == [10, 11, 12] * 2
+    with pytest.raises(ValueError, match="no grid file has"):
+        back.assign("t", "text").to_grid(f"{tmp_path}/x.nc", form)
+
+
+def test_checksum():
+    assert hdf5.lookup3(b"") == 0xDEADBEEF and hdf5.lookup3(b"Four score and seven years ago") == 0x17770551
+
+
+def test_convert(spark, tmp_path):
+    grids(tmp_path)
+    source = f"{tmp_path}/data1.nc"
+    convert.main(["-i", source, "-o", f"{tmp_path}/o.csv", "-v", "tg,rr", "-s", "time=1950-01-03:1950-01-04", "-s", "latitude=51:52"])
+    import pandas as pd
+
+    got = pd.read_csv(tmp_path / "o.csv")
+    assert list(got.columns) == ["longitude", "latitude", "time", "tg", "rr"] and len(got) == 3 * 2 * 2
+    assert set(got.time) == {"1950-01-03", "1950-01-04"}
+    convert.main(["-i", source, "-o", f"{tmp_path}/o.nc", "-f", "netcdf4", "-s", "time=1950-01-03:1950-01-09"])
+    again = read_grid(spark, f"{tmp_path}/o.nc").evaluate()
+    want = read_grid(spark, source).subset("time", datetime.date(1950, 1, 3), datetime.date(1950, 1, 9)).evaluate()
+    assert again.tg.tolist() == want.tg.tolist() and again.time.tolist() == want.time.tolist()
+    convert.convert(spark, source, f"file://{tmp_path}/o.parquet", "parquet", rows=(100, 130))
+    assert spark.read.parquet(f"file://{tmp_path}/o.parquet").count() == 30
