@@ -2,12 +2,16 @@
 
 Items are cut into windows of consecutive words (a shorter item is one window).
 A window must be contained whole, so of its shingles, ordered by rarity over
-the whole corpus, the rarest one alone is its necessary prefix.  Documents are
-probed with their shingles; each hit fixes where the window would start, is
-bounded by the ends of the document, and is verified word by word.
+the whole corpus, the rarest one alone is its necessary prefix; a window with a
+shingle that the corpus lacks can't occur and goes.  One pass over the documents
+counts the shingles that a filter of bits lets through, a second one sends on
+the occurrences of prefixes, each with the words around it.  These are joined to
+the table of prefixes: the place of the shingle in the window bounds where the
+window would start, within the document, and the words are compared.
 
-The benchmark is taken in blocks of bounded size; one pass over the documents
-is made for each block, so that nothing unbounded is broadcast.
+Neither items nor windows come to the driver; the filter of bits does, its size
+is bounded, and a fuller filter only lets more occurrences through to the join.
+Equal texts are one text in the join.
 
 Defined results: null text has no words; benchmark rows whose text or id is
 null, or without words, are left out; rows of one item id count as one item;
@@ -16,78 +20,25 @@ documents keep their repeated rows; an empty benchmark hits nothing.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
 from . import text as tx
 
 WINDOW, SHINGLE = 10, 3
-#: items in a block, and bytes of text handled at a time by a worker
-BLOCK_ITEMS, CHUNK_BYTES = 20_000, 1 << 20
-_FILTER_BITS = 22
-
-
-class Windows:
-    """Distinct windows of a block of items, and the prefix index over them."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int, shingle: int):
-        at: dict[tuple[bytes, ...], int] = {}
-        owners: list[set[str]] = []
-        for item, text in items:
-            raw = tx.LOWER[np.frombuffer(text.encode(), np.uint8)]
-            starts, ends, _ = tx.words(raw, np.array([0, len(raw)]), tx.ALNUM)
-            low = raw.tobytes()
-            ws = [low[s:e] for s, e in zip(starts, ends, strict=True)]
-            for i in range(max(len(ws) - window, 0) + 1 if ws else 0):
-                key = tuple(ws[i : i + window])
-                if key not in at:
-                    at[key] = len(owners)
-                    owners.append(set())
-                owners[at[key]].add(item)
-        self.words = list(at)
-        self.owners = [sorted(o) for o in owners]
-        self.lengths = np.array([len(w) for w in self.words], np.int64)
-        self.hashes = np.zeros((len(self.words), window), np.uint64)
-        flat = [w for ws in self.words for w in ws]
-        raw = np.frombuffer(b"".join(flat), np.uint8)
-        ends = np.cumsum([len(w) for w in flat], dtype=np.int64) if flat else np.zeros(0, np.int64)
-        h = tx.span_hash(tx.prefix_hash(raw), np.concatenate([[0], ends[:-1]]).astype(np.int64) if flat else ends, ends)
-        base = np.concatenate([[0], np.cumsum(self.lengths)])
-        for i in range(len(self.words)):
-            self.hashes[i, : self.lengths[i]] = h[base[i] : base[i + 1]]
-        self.shingle = shingle
-        keys = [(k, self._of(i, k)) for i in range(len(self.words)) for k in [min(shingle, int(self.lengths[i]))]]
-        self.sizes = sorted({k for k, _ in keys})
-        self.probes = {k: np.unique(np.concatenate([v for kk, v in keys if kk == k])) for k in self.sizes}
-
-    def _of(self, i: int, k: int) -> np.ndarray:
-        return tx.shingles(self.hashes[i, : self.lengths[i]], k)
-
-    def choose(self, counts: dict[int, np.ndarray]) -> None:
-        """Keep of each window its rarest shingle and that shingle's offset."""
-        rows: dict[int, list[tuple[int, int, int]]] = {k: [] for k in self.sizes}
-        for i in range(len(self.words)):
-            k = min(self.shingle, int(self.lengths[i]))
-            hs = self._of(i, k)
-            n = counts[k][np.searchsorted(self.probes[k], hs)]
-            o = int(np.lexsort((hs, n))[0])
-            rows[k].append((int(hs[o]), i, o))
-        self.index = {}
-        for k, r in rows.items():
-            r.sort()
-            self.index[k] = tuple(np.array([x[j] for x in r], t) for j, t in ((0, np.uint64), (1, np.int64), (2, np.int64)))
-
-
-def _filter(keys: np.ndarray) -> np.ndarray:
-    bits = np.zeros(1 << _FILTER_BITS, bool)
-    bits[(keys >> tx.U64(64 - _FILTER_BITS)).astype(np.int64)] = True
-    return bits
+#: bytes of text handled at a time by a worker, and distinct shingles that it counts before it sends them on
+CHUNK_BYTES, HELD = 1 << 20, 500_000
+#: rows (prefixes, or texts with hits) up to which a side is broadcast; shuffled joins beyond
+BROADCAST_ROWS = 100_000
+#: least and greatest size of a filter, as powers of two, and bits for each shingle
+FILTER_BITS, ROOM = (22, 26), 16
+#: fixed values: characters of words before A-Z are lower case
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _tokens(part: pa.RecordBatch, column: str):
@@ -97,100 +48,135 @@ def _tokens(part: pa.RecordBatch, column: str):
     return raw, starts, ends, bounds, tx.span_hash(tx.prefix_hash(raw), starts, ends)
 
 
-def _counter(probes: dict[int, np.ndarray]):
+def _cutter(window: int, shingle: int):
+    """Items to windows: item, words (by a space), n, k, the hashes of its shingles of k words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = {k: _filter(p) for k, p in probes.items()}
-        total = {k: np.zeros(len(p), np.int64) for k, p in probes.items()}
+        for batch in batches:
+            for part in tx.slices(batch, "text", CHUNK_BYTES):
+                raw, starts, ends, bounds, h = _tokens(part, "text")
+                low, items = raw.tobytes(), part.column(part.schema.get_field_index("item")).to_pylist()
+                rows: list[tuple] = []
+                for d, item in enumerate(items):
+                    a, b = int(bounds[d]), int(bounds[d + 1])
+                    n = min(b - a, window)
+                    if not n:
+                        continue
+                    k = min(shingle, n)
+                    hs = tx.shingles(h[a:b], k).view(np.int64).tolist()
+                    words = [low[x:y].decode() for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]
+                    rows += [(item, " ".join(words[i : i + n]), n, k, hs[i : i + n - k + 1]) for i in range(b - a - n + 1)]
+                kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["item", "words", "n", "k", "hashes"])
+
+    return run
+
+
+def _filter(keys: DataFrame) -> tuple[np.ndarray, int]:
+    """(bits by the leading bits of a hash, how many those are) of distinct hashes (sh)."""
+    n = max(keys.count(), 1)
+    power = min(max(int(np.ceil(np.log2(ROOM * n))), FILTER_BITS[0]), FILTER_BITS[1])
+    slot = F.shiftrightunsigned("sh", 64 - power)
+    words = keys.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toPandas()
+    out = np.zeros(1 << (power - 6), np.uint64)
+    out[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return out, power
+
+
+def _passed(bits: np.ndarray, power: int, hs: np.ndarray) -> np.ndarray:
+    slot = hs >> tx.U64(64 - power)
+    return (bits[(slot >> tx.U64(6)).astype(np.int64)] >> (slot & tx.U64(63)) & tx.U64(1)).astype(bool)
+
+
+def _counter(bits: np.ndarray, power: int, sizes: Sequence[int]):
+    """Counts of the shingles that pass, of each worker's texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {k: [] for k in sizes}
+
+        def flush(k: int) -> pa.RecordBatch:
+            values, at = np.unique(np.concatenate([v for v, _ in held[k]]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([c for _, c in held[k]])).astype(np.int64)
+            held[k] = []
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(values), k, np.int32)), pa.array(values.view(np.int64)), pa.array(counts)], ["k", "sh", "n"])
+
         for batch in batches:
             for part in tx.slices(batch, "text", CHUNK_BYTES):
                 _, _, _, bounds, h = _tokens(part, "text")
                 left = bounds[1:][tx.repeat_index(bounds)] - np.arange(len(h))
-                for k, p in probes.items():
+                for k in sizes:
                     hs = tx.shingles(h, k)
-                    c = np.flatnonzero(bits[k][(hs >> tx.U64(64 - _FILTER_BITS)).astype(np.int64)] & (left[: len(hs)] >= k))
-                    at = np.searchsorted(p, hs[c])
-                    at[at == len(p)] = 0
-                    total[k] += np.bincount(at[p[at] == hs[c]], minlength=len(p))
-        for k, t in total.items():
-            some = np.flatnonzero(t)
-            if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k)), pa.array(some), pa.array(t[some])], ["k", "at", "n"])
+                    hs = hs[_passed(bits, power, hs) & (left[: len(hs)] >= k)]
+                    if len(hs):
+                        held[k].append(np.unique(hs, return_counts=True))
+                    if sum(len(v) for v, _ in held[k]) > HELD:
+                        yield flush(k)
+        for k in sizes:
+            if held[k]:
+                yield flush(k)
 
     return run
 
 
-def _prober(win: Windows):
+def _prober(bits: np.ndarray, power: int, sizes: Sequence[int], window: int):
+    """Occurrences of prefixes: key, k, sh, the word at which it starts, the words around it and which of them it is."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = {k: _filter(win.index[k][0]) for k in win.sizes}
         for batch in batches:
             for part in tx.slices(batch, "text", CHUNK_BYTES):
                 raw, starts, ends, bounds, h = _tokens(part, "text")
-                low = raw.tobytes()
+                low, keys = raw.tobytes(), part.column(part.schema.get_field_index("key"))
                 doc = tx.repeat_index(bounds)
-                hit_at, hit_w = [], []
-                for k in win.sizes:
-                    keys, owner, offset = win.index[k]
+                left = bounds[1:][doc] - np.arange(len(h))
+                for k in sizes:
                     hs = tx.shingles(h, k)
-                    c = np.flatnonzero(bits[k][(hs >> tx.U64(64 - _FILTER_BITS)).astype(np.int64)])
-                    lo, hi = np.searchsorted(keys, hs[c], "left"), np.searchsorted(keys, hs[c], "right")
-                    n = hi - lo
-                    pos = np.repeat(c, n)
-                    slot = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    w = owner[slot]
-                    first = pos - offset[slot]
-                    ok = (first >= bounds[doc[pos]]) & (first + win.lengths[w] <= bounds[doc[pos] + 1])
-                    first, w = first[ok], w[ok]
-                    for j in range(win.hashes.shape[1]):
-                        if len(w) == 0:
-                            break
-                        inside = j < win.lengths[w]
-                        same = ~inside | (h[np.minimum(first + j, len(h) - 1)] == win.hashes[w, j])
-                        first, w = first[same], w[same]
-                    hit_at.append(first)
-                    hit_w.append(w)
-                at = np.concatenate(hit_at) if hit_at else np.zeros(0, np.int64)
-                w = np.concatenate(hit_w) if hit_w else at
-                true = [all(low[starts[a + j] : ends[a + j]] == b for j, b in enumerate(win.words[x])) for a, x in zip(at, w, strict=True)]
-                at, w = at[true], w[true]
-                by = np.argsort(at, kind="stable")
-                at, w = at[by], w[by]
-                docs = np.searchsorted(at, bounds)
-                old_hits = part.column(part.schema.get_field_index("hits")).to_pylist()
-                old_items = part.column(part.schema.get_field_index("items")).to_pylist()
-                hits, items = [], []
-                for d in range(part.num_rows):
-                    some = slice(docs[d], docs[d + 1])
-                    own = old_hits[d] or []
-                    names = set(old_items[d] or ())
-                    a = at[some] - bounds[d]
-                    own = own + [x for s, e in zip(a.tolist(), (a + win.lengths[w[some]]).tolist(), strict=True) for x in (s, e)]
-                    for x in set(w[some].tolist()):
-                        names.update(win.owners[x])
-                    hits.append(_merge(own))
-                    items.append(sorted(names))
-                cols = {
-                    "hits": pa.array(hits, pa.list_(pa.int64())),
-                    "items": pa.array(items, pa.list_(pa.string())),
-                    "n_words": pa.array(np.diff(bounds)),
-                }
-                yield pa.RecordBatch.from_arrays([cols[f] if f in cols else part.column(i) for i, f in enumerate(part.schema.names)], part.schema.names)
+                    at = np.flatnonzero(_passed(bits, power, hs) & (left[: len(hs)] >= k))
+                    for i in range(0, len(at), 50_000):
+                        p = at[i : i + 50_000]
+                        d = doc[p]
+                        a, b = np.maximum(bounds[d], p - (window - k)), np.minimum(bounds[d + 1], p + window)
+                        around = [b" ".join([low[starts[j] : ends[j]] for j in range(x, y)]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays(
+                            [keys.take(pa.array(d)), pa.array(np.full(len(p), k, np.int32)), pa.array(hs[p].view(np.int64)), pa.array(p - bounds[d]), pa.array(around, pa.binary()).cast(pa.string()), pa.array((p - a).astype(np.int32))],
+                            ["key", "k", "sh", "at", "around", "before"],
+                        )
 
     return run
 
 
-def _merge(flat: list[int]) -> list[int]:
-    """Union of [s, e) spans given and returned as a flat list."""
-    out: list[int] = []
-    for s, e in sorted(zip(flat[::2], flat[1::2], strict=True)):
-        if out and s <= out[-1]:
-            out[-1] = max(out[-1], e)
-        else:
-            out += [s, e]
-    return out
-
-
-def _sha(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+def prefixes(windows: DataFrame, texts: DataFrame) -> DataFrame:
+    """k, sh, off, words, n of each window that may occur: the shingle that is rarest over ``texts`` and its place."""
+    each = windows.select("words", "n", "k", F.posexplode("hashes").alias("off", "sh"))
+    keys = scratch.table(each.select("k", "sh").distinct())
+    bits, power = _filter(keys.select("sh").distinct())
+    sizes = sorted(r.k for r in keys.select("k").distinct().collect())
+    seen = texts.mapInArrow(_counter(bits, power, sizes), "k int, sh long, c long").groupBy("k", "sh").agg(F.sum("c").alias("c"))
+    counts = scratch.table(seen.join(keys, ["k", "sh"], "left_semi"))
+    ranked = each.join(counts, ["k", "sh"], "left").groupBy("words", "n", "k").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "sh", "off")).alias("p"))
+    return ranked.where("p.c > 0").select("k", "p.sh", "p.off", "words", "n")
+
+
+def _hits(docs: DataFrame, first: DataFrame, window: int, broadcast_rows: int) -> DataFrame:
+    """key, start, end, words: the windows in the texts (key, text), each place once."""
+    bits, power = _filter(first.select("sh").distinct())
+    sizes = sorted(r.k for r in first.select("k").distinct().collect())
+    found = docs.mapInArrow(_prober(bits, power, sizes, window), "key string, k int, sh long, at long, around string, before int")
+    side = F.broadcast(first) if first.count() <= broadcast_rows else first
+    both = found.join(side, ["k", "sh"]).where("before >= off")
+    there = F.array_join(F.slice(F.split("around", " "), F.col("before") - F.col("off") + 1, F.col("n")), " ")
+    start = F.col("at") - F.col("off")
+    return both.where(there == F.col("words")).select("key", start.alias("start"), (start + F.col("n")).alias("end"), "words").distinct()
+
+
+def _merged(hits: DataFrame) -> DataFrame:
+    """key, hits: the union of a text's spans as a flat list."""
+    order = Window.partitionBy("key").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)
+    spans = hits.select("key", "start", "end").distinct().withColumn("new", apart).withColumn("island", F.sum("new").over(order))
+    spans = spans.groupBy("key", "island").agg(F.min("start").alias("s"), F.max("end").alias("e"))
+    listed = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("l"))
+    return listed.select("key", F.flatten(F.transform("l", lambda x: F.array(x["s"], x["e"]))).alias("hits"))
 
 
 def find_hits(
@@ -203,32 +189,25 @@ def find_hits(
     window: int = WINDOW,
     shingle: int = SHINGLE,
     keep: tuple[str, ...] = ("doc_id",),
-    block_items: int = BLOCK_ITEMS,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``keep`` columns (as ``k0``, ``k1`` ..), ``text``, ``n_words``, ``hits`` (flat word spans) and ``items``."""
     scratch.small_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
-    n = items.count()
-    blocks = max(1, -(-n // block_items))
-    frame = docs.select(
-        *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
-        F.col(text_col).alias("text"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.lit(None).cast("array<long>").alias("hits"),
-        F.lit(None).cast("array<string>").alias("items"),
-    )
-    texts = docs.select(F.col(text_col).alias("text"))
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        win = Windows([(r[0], r[1]) for r in part.collect()], window, shingle)
-        counts = {k: np.zeros(len(p), np.int64) for k, p in win.probes.items()}
-        if win.words:
-            seen = texts.mapInArrow(_counter(win.probes), "k long, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n"))
-            for r in seen.collect():
-                counts[r.k][r.at] = r.n
-        win.choose(counts)
-        frame = frame.mapInArrow(_prober(win), frame.schema)
-    return frame
+    owned = scratch.table(items.mapInArrow(_cutter(window, shingle), "item string, words string, n int, k int, hashes array<bigint>"))
+    text = F.col(text_col)
+    frame = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], text.alias("text"), F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    none = {"hits": F.array().cast("array<bigint>"), "items": F.array().cast("array<string>")}
+    windows = owned.groupBy("words", "n", "k").agg(F.first("hashes").alias("hashes"))
+    first = scratch.table(prefixes(windows, docs.where(text.isNotNull()).select(text.alias("text")))) if not owned.isEmpty() else None
+    if first is None or first.isEmpty():
+        return frame.select("*", *[c.alias(n) for n, c in none.items()])
+    hits = scratch.table(_hits(docs.where(text.isNotNull()).select(F.md5(text).alias("key"), text.alias("text")), first, window, broadcast_rows))
+    of = hits.select("key", "words").distinct().join(owned.select("words", "item").distinct(), "words").select("key", "item").distinct()
+    found = scratch.table(_merged(hits).join(of.groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items")), "key"))
+    side = F.broadcast(found) if found.count() <= broadcast_rows else found
+    frame = frame.join(side, F.md5("text") == F.col("key"), "left").drop("key")
+    return frame.withColumns({n: F.coalesce(n, c) for n, c in none.items()})
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
@@ -236,14 +215,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     found = find_hits(docs, benchmark, keep=(id_col,), **options)
     covered = F.aggregate(F.sequence(F.lit(0), F.floor(F.size("hits") / 2).cast("int") - 1), F.lit(0).cast("long"), lambda a, i: a + F.element_at("hits", 2 * i + 2) - F.element_at("hits", 2 * i + 1))
     n_hit = F.when(F.size("hits") > 0, covered).otherwise(F.lit(0).cast("long"))
-    return found.select(
-        F.col("k0").alias(id_col),
-        "n_words",
-        n_hit.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        (n_hit > 0).alias("contaminated"),
-    )
+    return found.select(F.col("k0").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", (n_hit > 0).alias("contaminated"))
 
 
 def item_digest(items):

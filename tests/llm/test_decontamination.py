@@ -59,7 +59,7 @@ def test_against_brute_force(spark, docs_of):
     want = brute(texts, [(i, t) for i, t in items if i is not None and t is not None])
     docs = docs_of(texts)
     assert run(docs, bench) == want
-    assert run(docs, bench, block_items=7) == want  # several passes
+    assert run(docs, bench, broadcast_rows=0) == want  # shuffled joins
 
 
 def test_awkward_tables(spark, docs_of):
@@ -75,3 +75,26 @@ def test_long_text(spark, docs_of):
     text = "w " * 400_000 + "needle in hay " + "w " * 400_000
     bench = spark.createDataFrame([(7, "needle in hay")], "item_id long, text string")
     assert run(docs_of([text]), bench)[0][:3] == (800_003, 3, 1)
+
+
+def test_repeated_passages_and_copies(spark, docs_of, monkeypatch):
+    """A text of nothing but one word, copies of a contaminated text, and a filter that lets nearly all through."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = ["w " * 5000, *[f"intro {passage} outro"] * 40, "w w w", " ".join(f"p{i}" for i in range(9)), f"{passage} {passage}"]
+    items = [(1, "w " * 12), (2, passage), (3, passage + " more"), (4, "p3 p4"), (5, "none of it")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute(texts, items)
+    assert run(docs_of(texts), bench) == want
+    monkeypatch.setattr(dc, "FILTER_BITS", (6, 6))
+    assert run(docs_of(texts), bench) == want
+
+
+def test_prefixes_are_the_rarest_shingles(spark):
+    windows = spark.createDataFrame([("a b c d", 4, 3, [11, 22]), ("a b c e", 4, 3, [11, 33])], "words string, n int, k int, hashes array<long>")
+
+    class Counted:  # stands for the texts: shingle 11 three times, 22 once, 33 never
+        def mapInArrow(self, fn, schema):
+            return spark.createDataFrame([(3, 11, 2), (3, 11, 1), (3, 22, 1), (3, 99, 5)], schema)
+
+    got = dc.prefixes(windows, Counted()).collect()
+    assert [(r.sh, r.off, r.words) for r in got] == [(22, 1, "a b c d")]
