@@ -417,9 +417,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     """id, n (shingles), least (id of the component) and cls of every document."""
     spark = docs.sparkSession
     scratch.small_batches(spark)
-    n = scratch.partitions(spark)
     bands = Bands(percent)
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    n = scratch.partitions(spark, docs)
     kind = thin.schema[0].dataType.simpleString()
     rows = thin.mapInArrow(_tiler(bands, shingle, 2 * n), f"bucket int, id {kind}, n long, cls long, bits binary, sent binary, near binary")
     rows = scratch.table(rows.repartition(n, "bucket").mapInArrow(_joiner, f"id {kind}, n long, cls long, bits binary, key long, hub long"))

@@ -75,5 +75,21 @@ def placement(spark: SparkSession, n: int) -> list[int]:
     return [got.get(i, i) for i in range(n)]
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: bytes of input for each partition of data that a task holds in memory; partitions from which on they take more
+PART_BYTES, MANY, LARGE_BYTES = 8 << 20, 20_000, 256 << 20
+
+
+def partitions(spark: SparkSession, df: DataFrame | None = None) -> int:
+    """Partitions of a shuffle: the session's number, and more where the input that ``df`` reads asks for it.
+
+    The size is the optimizer's estimate (of files: theirs); where it has none
+    the session's number counts alone.  Tasks hold about ``PART_BYTES`` of input
+    up to ``MANY`` partitions, and ``LARGE_BYTES`` at most beyond.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if df is None:
+        return n
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # unknown
+        return n
+    return max(n, min(-(-size // PART_BYTES), MANY), -(-size // LARGE_BYTES))

@@ -446,9 +446,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """id (long), n_bytes, n_removed, n_spans, spans (flat byte offsets) and kept (binary) of every document."""
     spark = docs.sparkSession
     scratch.small_batches(spark)
-    n = scratch.partitions(spark)
-    seats = scratch.placement(spark, n)
     thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    n = scratch.partitions(spark, docs)
+    seats = scratch.placement(spark, n)
     cut = thin.mapInArrow(_cutter(length, gram, seats), "bucket int, sent binary, gone binary").repartition(n, "bucket")
     # written, so that the segments' shuffle files go before the texts travel
     gone = scratch.table(cut.mapInArrow(_sharder(length, gram, seats), "bucket int, gone binary, docs binary"))
