@@ -1,6 +1,7 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridframe.llm import decontamination, mixing, near_join, queries, scratch, secret_scan
@@ -77,3 +78,41 @@ def test_equals_sql(spark, sf, name):
         return df.map(lambda v: None if pd.isna(v) else v).astype(object)
 
     pd.testing.assert_frame_equal(normal(got), normal(want), check_dtype=False, rtol=1e-12)
+
+
+def test_stages_over_awkward_rows(spark, docs_of, tmp_path):
+    """Nulls in every column, repeated rows, one id with two texts, an empty and a long text, clashing names, through all stages."""
+    sentence = "the cat sat on the mat and the dog lay by the door of house number {} in street {} of the town {} where {} people live near the sea "
+    texts = [sentence.format(*(f"{w}{i}" for w in "abcd")) * (1 + i % 3) for i in range(40)]
+    window = "one two three four five six seven eight nine ten eleven"
+    extra = [
+        (100, texts[0], "en", "s", 1), (101, texts[0] + "x", "en", "s", 1),  # a copy and a near copy
+        (102, texts[3], "en", "s", 1), (102, "another text of its own with words that no other one has in this table", "en", "t", None),
+        (103, "the dog lay by the door of the house near the sea and " * 3 + window + " the cat sat on the mat" * 3, "en", None, 5), (104, "my token=abcdef123456 is in the mat by the door", "en", "t", 5),
+        (None, texts[5] + " with an end that makes it another text, longer than the one that it is like " * 3, "en", "s", 5),
+        (105, None, None, None, None), (106, "", "en", "s", 0), (107, "12345 !!", None, "s", 8), (108, "the mat and the door of house " * 20_000, "en", "long", 9),
+    ]
+    rows = [(i, t, "en", "abc"[i % 3], len(t)) for i, t in enumerate(texts)] + extra + [extra[1]] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("copies", "size", "taken", "hits", "items", "spans", "id", "cls", "k0", "host", "known", "key"):
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    spark.createDataFrame([(1, window), (2, None), (None, "x")], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        got = scratch.table(stage(spark, docs, f"file://{tmp_path}"))
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert got.columns == docs.columns
+        kept[name] = got.toPandas()
+        docs = got
+    first, second, third, fourth, last = kept.values()
+    assert {105, 106, 107}.isdisjoint(first.doc_id.dropna()) and len(first) == len(rows) - 3
+    assert set(range(40)) <= set(second.doc_id.dropna()) and {100, 101}.isdisjoint(second.doc_id.dropna())
+    assert second[second.doc_id == 102].text.tolist() == [extra[3][1]]  # of one id the copy goes, the other text stays
+    assert second.doc_id.isna().sum() == 1
+    assert 103 in set(second.doc_id) and set(second.doc_id.dropna()) - set(third.doc_id.dropna()) == {103}
+    assert fourth[fourth.doc_id == 104].text.tolist() == ["my token=[REDACTED] is in the mat by the door"] and len(fourth) == len(third)
+    assert {"doc_copies", "doc_size", "doc_taken", "copies", "size", "taken", "hits", "text"} <= set(last.columns) and (last.doc_copies == "own copies").all()
+    assert set(last.doc_id.dropna()) <= set(fourth.doc_id.dropna()) and (last.copies >= 1).all()
+    empty = spark.createDataFrame([], docs_of(["x"]).schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, f"file://{tmp_path}").count() == 0
