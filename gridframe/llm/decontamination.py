@@ -37,8 +37,8 @@ CHUNK_BYTES, HELD = 1 << 20, 500_000
 BROADCAST_ROWS = 100_000
 #: least and greatest size of a filter, as powers of two, and bits for each shingle
 FILTER_BITS, ROOM = (22, 26), 16
-#: fixed values: characters of words before A-Z are lower case
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: fixed values: characters of words before A-Z are lower case, the most frequent first
+_WORD = r"[a-zA-Z0-9\x{80}-\x{10FFFF}]+"
 
 
 def _tokens(part: pa.RecordBatch, column: str):
