@@ -271,6 +271,45 @@ def unique_sorted(spark, sf_dir):
     return op.unique(table(spark, sf_dir, "part"), "p_type")
 
 
+@query("SELECT c_mktsegment, c_acctbal FROM customer WHERE c_acctbal < 0 OR c_mktsegment = 'BUILDING'")
+def index_filter(spark, sf_dir):
+    index = op.Index(table(spark, sf_dir, "customer"), ["c_mktsegment", "c_acctbal"])
+    return index[(index.values("c_acctbal") < 0) | (index.values("c_mktsegment") == "BUILDING")].expand()
+
+
+@query("SELECT CAST(5 + 3 * range AS BIGINT) AS i FROM range(2, 30, 4)")
+def index_range_slice(spark, sf_dir):
+    return op.RangeIndex(spark, 5, 100, 3, "i")[2:30:4].expand()
+
+
+_PAIRS = "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS rn, o_orderkey, o_orderstatus, o_orderpriority FROM orders"
+
+
+def _pairs(spark, sf_dir):
+    return op.MultiIndex.from_arrays(table(spark, sf_dir, "orders")[["o_orderkey", "o_orderstatus", "o_orderpriority"]], ["o_orderstatus", "o_orderpriority"], ["o_orderkey"])
+
+
+@query(f"SELECT o_orderkey, o_orderstatus, o_orderpriority FROM ({_PAIRS}) WHERE rn >= 30 AND rn < 400")
+def multi_index_slice(spark, sf_dir):
+    return _pairs(spark, sf_dir)[30:400].expand()
+
+
+@query(f"SELECT o_orderkey, o_orderstatus, o_orderpriority FROM ({_PAIRS}) WHERE o_orderpriority = (SELECT min(o_orderpriority) FROM orders)")
+def multi_index_filter(spark, sf_dir):
+    index = _pairs(spark, sf_dir)
+    return index[index.values("o_orderpriority") == 0].expand()
+
+
+@query(f"SELECT o_orderkey, o_orderstatus, o_orderpriority FROM ({_PAIRS}) WHERE rn < 10")
+def multi_index_head(spark, sf_dir):
+    return _pairs(spark, sf_dir).head(10).expand()
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 25")
+def sort_values(spark, sf_dir):
+    return orders(spark, sf_dir)[["o_totalprice"]].sort_values("o_totalprice").head(25).df
+
+
 # aggregates
 
 
@@ -520,6 +559,15 @@ def pipeline_head(spark, sf_dir):
     return rounded(_joined(spark, sf_dir)[0].head(10).df, "tg")
 
 
+@query(
+    f"""WITH s AS (SELECT *, row_number() OVER (ORDER BY l_suppkey, l_linenumber, d) - 1 AS rn FROM ({_GRID1}))
+    SELECT 'tg' AS "column", round(sum(tg), 2) AS sum FROM s WHERE rn >= 100 AND rn < 3000 UNION ALL SELECT 'rr', round(sum(rr), 2) FROM s WHERE rn >= 100 AND rn < 3000"""
+)
+def pipeline_mini(spark, sf_dir):
+    """Slice, drop, sum: the short form of the pipeline."""
+    return rounded(grid(spark, sf_dir, 1)[100:3000].drop(["pp", "absent"]).sum(), "sum", digits=2)
+
+
 _COLUMNS = ("tg", "pp", "rr", "tn", "tx", "abs_diff")
 
 
