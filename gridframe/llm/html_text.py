@@ -359,9 +359,8 @@ def _count(min_pages: int):
     return run
 
 
-def host_repeats(pages: DataFrame, min_run: int, min_pages: int) -> DataFrame | None:
+def host_repeats(pages: DataFrame, min_run: int, min_pages: int, parts: int) -> DataFrame | None:
     """host, salt, repeated (hashes of runs) of hosts of several shards that have open blocks; None without any."""
-    spark = pages.sparkSession
     several = pages.where("shards > 1")
     hosts = scratch.table(several.select("host", "html").mapInArrow(_open_hosts, "host string").distinct())
     n = hosts.count()
@@ -369,7 +368,7 @@ def host_repeats(pages: DataFrame, min_run: int, min_pages: int) -> DataFrame |
         return None
     runs = several.join(F.broadcast(hosts) if n <= BROADCAST_HOSTS else hosts, "host", "left_semi").select("host", "html", F.xxhash64("page_id").alias("page"), "salt", "shards")
     runs = runs.mapInArrow(_runs_of(min_run, min_pages), "host string, part long, runs binary, pages binary, wanted binary, salts binary")
-    runs = runs.repartition(scratch.partitions(spark), "host", "part").sortWithinPartitions("host", "part")
+    runs = runs.repartition(parts, "host", "part").sortWithinPartitions("host", "part")
     return scratch.table(runs.mapInArrow(_count(min_pages), "host string, salt long, repeated binary"))
 
 
@@ -416,9 +415,10 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     side = F.broadcast(sizes) if sizes.count() <= BROADCAST_HOSTS else sizes
     salted = thin.join(side, F.col("host") == F.col("_host")).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), "shards")).drop("_host")
     dealt = salted.drop("shards").withColumn("repeated", F.lit(None).cast("binary"))
-    repeats = host_repeats(salted, min_run, min_pages)
+    parts = scratch.partitions(spark, pages)  # of the table itself: a join has no estimate to go by
+    repeats = host_repeats(salted, min_run, min_pages, parts)
     if repeats is not None:
         dealt = dealt.unionByName(repeats, allowMissingColumns=True)
-    dealt = dealt.repartition(scratch.partitions(spark), "host", "salt").sortWithinPartitions("host", "salt")
+    dealt = dealt.repartition(parts, "host", "salt").sortWithinPartitions("host", "salt")
     schema = f"page_id {thin.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
     return dealt.mapInArrow(_run(min_run, min_pages), schema).withColumnsRenamed({"page_id": id_col, "url": url_col})
