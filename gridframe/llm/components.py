@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import hot, scratch
+
+#: rows of one vertex that a join leaves together (two or three numbers each)
+VERTEX_ROWS = 100_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,20 +16,26 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hooks every vertex to the least of its neighbours and itself,
     follows the hook once more, and contracts the edges; vertices should be
-    hashes, so that a round leaves a fraction of them.
+    hashes, so that a round leaves a fraction of them.  A vertex with a large
+    part of all edges is split in every join.
     """
     live = scratch.table(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     first = live.select(F.col("a").alias("v")).union(live.select(F.col("b").alias("v"))).distinct()
     label = first.withColumn("comp", F.col("v"))
-    while not live.isEmpty():
+    n = live.count()
+    vertices = 2 * n
+    while n:
         both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         hook = scratch.table(hook)
         onward = hook.select(F.col("a").alias("m"), F.col("m").alias("mm"))
-        jump = scratch.table(hook.join(onward, "m", "left").select(F.col("a").alias("x"), F.coalesce("mm", "m").alias("y")))
-        label = scratch.table(label.join(jump, F.col("comp") == F.col("x"), "left").select("v", F.coalesce("y", "comp").alias("comp")))
-        to_b = jump.select(F.col("x").alias("xb"), F.col("y").alias("yb"))
-        moved = live.join(jump, F.col("a") == F.col("x"), "left").join(to_b, F.col("b") == F.col("xb"), "left")
-        moved = moved.select(F.coalesce("y", "a").alias("a"), F.coalesce("yb", "b").alias("b")).where("a <> b")
-        live = scratch.table(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        jump = scratch.table(hot.lookup(hook, onward, "m", "left", VERTEX_ROWS, 2 * n).select(F.col("a").alias("x"), F.coalesce("mm", "m").alias("y")))
+        ends = {c: jump.select(F.col("x").alias(c), F.col("y").alias(f"new_{c}")) for c in ("comp", "a", "b")}
+        label = scratch.table(hot.lookup(label, ends["comp"], "comp", "left", VERTEX_ROWS, vertices).select("v", F.coalesce("new_comp", "comp").alias("comp")))
+        moved = live
+        for c in "ab":
+            moved = scratch.table(moved) if c == "b" and n > VERTEX_ROWS else moved
+            moved = hot.lookup(moved, ends[c], c, "left", VERTEX_ROWS, n).withColumn(c, F.coalesce(f"new_{c}", c)).select("a", "b")
+        live = scratch.table(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        n = live.count()
     return label

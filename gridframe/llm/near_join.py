@@ -17,7 +17,8 @@ that this leaves, all pairs of all tiles that pass the bound are.  Equal sets ar
 digest; components are found by contraction and named by least document id.
 
 Hot groups: a batch sends each tile key once with its local hub, hubs with many
-members and tiles with many sets are split into cells of bounded size.
+members, tiles with many sets, classes with many documents and components with
+many classes are split into cells of bounded size.
 
 Defined results: null text counts as empty; an empty set is linked with nothing
 and is its own component; repeated rows of one id share a component if their
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import components, scratch
+from . import components, hot, scratch
 from . import text as tx
 
 SHINGLE, PERCENT, RATIO = 4, 85, 1.6
@@ -367,10 +368,10 @@ def _crosser(percent: int, nearest: bool):
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and bitmaps don't exclude."""
-    both = pairs
-    for c in "ab":
-        both = both.join(sets.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}")), c)
+    """The pairs (a, b) that sizes and bitmaps don't exclude; hubs b with many members are split."""
+    side = {c: sets.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab"}
+    members = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("size"))
+    both = hot.lookup(pairs, side["b"].join(members, "b"), "b", least=HUB_MEMBERS).join(side["a"], "a")
     return both.mapInArrow(_bounder(percent), "a long, b long")
 
 
@@ -386,9 +387,10 @@ def _texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int) -> DataFr
 def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int, n: int) -> DataFrame:
     """The similar ones of distinct pairs (a, b); hubs b with many members are split."""
     texts = _texts(docs, sets, pairs, k)
-    size = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB_MEMBERS).cast("int").alias("cells"))
+    size = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("size"))
+    size = scratch.table(size.withColumn("cells", F.ceil(F.col("size") / HUB_MEMBERS).cast("int")))
     own = texts.select(F.col("cls").alias("c"), "text")
-    members = pairs.join(size, "b").select("b", "a", F.pmod("a", "cells").cast("int").alias("cell"))
+    members = hot.lookup(pairs, size, "b", least=HUB_MEMBERS).select("b", "a", F.pmod("a", "cells").cast("int").alias("cell"))
     members = members.join(own, F.col("a") == F.col("c")).select("b", "cell", F.lit(1).alias("first"), "a", "text")
     hubs = size.join(own, F.col("b") == F.col("c")).select("b", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(0).alias("first"), F.col("b").alias("a"), "text")
     rows = members.union(hubs).repartition(n, "b", "cell").sortWithinPartitions("b", "cell", "first")
@@ -403,9 +405,10 @@ def _across(tiles: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, n:
     """
     if nearest:
         tiles = tiles.where(F.pmod("key", F.lit(NEAREST_TILES)) == 0)
-    placed = tiles.join(comp, F.col("cls") == F.col("v"), "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-    torn = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", F.ceil(F.col("size") / CELL).cast("int").alias("cells"))
-    left = placed.join(torn, "key").withColumn("block", F.pmod(F.xxhash64("cls"), "cells").cast("int"))
+    placed = scratch.table(tiles.join(comp, F.col("cls") == F.col("v"), "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp")))
+    torn = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+    torn = scratch.table(torn.select("key", "size", F.ceil(F.col("size") / CELL).cast("int").alias("cells")))
+    left = hot.lookup(placed, torn, "key", least=CELL).withColumn("block", F.pmod(F.xxhash64("cls"), "cells").cast("int"))
     left = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     left = left.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "cls", "comp", "block")
     left = left.join(sets.select("cls", "n", "bits"), "cls").repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
@@ -427,7 +430,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     tiles = rows.where("key is not null").select("key", "cls", "hub")
     sets = scratch.table(who.join(tiles.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("id").alias("i")))
 
-    stars = tiles.where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = scratch.table(tiles.where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct())
     stars = scratch.table(_bounded(stars, sets, percent))
     links = scratch.table(_verify(stars, thin, sets, shingle, percent, n))
     comp = scratch.table(components.components(links))
@@ -442,9 +445,14 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
             links = links.union(scratch.table(_verify(across, thin, sets, shingle, percent, n)))
             comp = scratch.table(components.components(links))
 
-    named = who.where("n > 0").join(comp, F.col("cls") == F.col("v"), "left").withColumn("comp", F.coalesce("comp", "cls"))
-    least = named.groupBy("comp").agg(F.min("id").alias("least"))
-    out = named.join(least, "comp").select("id", "n", "least", "cls")
+    # The least id of each class, of each component, and back to classes and rows.
+    some = who.where("n > 0")
+    classes = scratch.table(some.groupBy("cls").agg(F.min("id").alias("own"), F.count(F.lit(1)).alias("size")))
+    linked = scratch.table(classes.join(comp, F.col("cls") == F.col("v")).select("cls", "own", "comp"))
+    least = linked.groupBy("comp").agg(F.min("own").alias("least"), F.count(F.lit(1)).alias("size"))
+    of = classes.join(hot.lookup(linked, least, "comp").select("cls", "comp", "least"), "cls", "left")
+    of = scratch.table(of.select("cls", "size", F.when(F.col("comp").isNull(), F.col("own")).otherwise(F.col("least")).alias("least")))
+    out = hot.lookup(some, of, "cls").select("id", "n", "least", "cls")
     return out.union(who.where("n = 0").select("id", "n", F.col("id").alias("least"), "cls"))
 
 

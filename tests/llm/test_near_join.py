@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from gridframe.llm import components, near_join
+from gridframe.llm import components, hot, near_join, scratch
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -64,12 +64,29 @@ def test_hot_groups_are_split(docs_of, monkeypatch):
     monkeypatch.setattr(near_join, "HUB_MEMBERS", 5)
     monkeypatch.setattr(near_join, "FLUSH_ROWS", 50)
     monkeypatch.setattr(near_join, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(components, "VERTEX_ROWS", 5)
+    monkeypatch.setattr(hot.lookup, "__defaults__", ("inner", 5, None))
     r = random.Random(2)
     texts = near_copies(r, 1, 90, 60)
+    texts += texts[:1] * 40
     got = near_join.group_near_copies(docs_of(texts))
     assert sorted((tuple(x) for x in got.collect()), key=str) == brute(list(enumerate(texts)), 4, 85)
 
 
+@pytest.mark.parametrize("counted", [True, False])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_lookup_of_hot_keys(spark, how, counted):
+    """Cells hold about the limit, and the result is that of a plain join."""
+    keys = [1] * 60 + [2] * 25 + [3, 4, 4, None, None, 9]
+    rows = scratch.table(spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long"))
+    table = spark.createDataFrame([(k, f"t{k}", keys.count(k)) for k in (1, 2, 3, 4, 5)], "k long, t string, size long")
+    table = table if counted else table.drop("size")
+    got, want = hot.lookup(rows, table, "k", how, 10), rows.join(table.drop("size"), "k", how)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert hot.lookup(rows.limit(0), table, "k", how, 10).count() == 0
+
+
 def test_bands_lose_no_pair():
     """Similar sizes share a band, and their largest difference is below the number of parts."""
     bands = near_join.Bands()
